@@ -3,7 +3,7 @@
 Examples are labelled documents that are not held out, at most `EXAMPLES` of them in the order of a hash of their id (a
 documented bound; near copies, which share a minimum shingle hash, count once). Terms are words without outer
 punctuation and their prefixes of four to six letters; those whose document frequency differs between the two labels
-(chi-square of at least twice the logarithm of the number of terms tested) span the vectors. Postings are kept in blocks of examples with the largest weight
+(chi-square of at least three times the logarithm of the number of terms tested) span the vectors. Postings are kept in blocks of examples with the largest weight
 of each term in each block: blocks are scored exactly in the order of their upper bounds until no other block can hold
 one of the `NEIGHBOURS` nearest. Their labels vote with weights that fall with distance; a logistic curve fitted on
 the leave-one-out votes of the examples turns votes into scores. The nearest examples are returned as evidence.
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
         c = F.lit(n) * F.pow(F.col("a") * (n - p) - (F.col("d") - F.col("a")) * p, 2) / (F.lit(p * (n - p)) * F.col("d") * (n - F.col("d")) + 1e-9)
         by = by.withColumn("c", c)
         tested = by.count()
-        by = by.where((F.col("c") >= 2 * math.log(max(tested, 2))) & (F.abs(F.col("a") / p - (F.col("d") - F.col("a")) / (n - p)) >= 0.5 * F.col("d") / n))
+        by = by.where((F.col("c") >= 3 * math.log(max(tested, 2))) & (F.abs(F.col("a") / p - (F.col("d") - F.col("a")) / (n - p)) >= 0.5 * F.col("d") / n))
         vocabulary = [r["t"] for r in by.orderBy(F.desc("c"), "t").limit(TERMS).collect()]  # at most TERMS
     ids = {r["id"]: r["y"] for r in seen.select("id", "y").collect()}  # at most `examples`
     seen.unpersist()
