@@ -1,0 +1,300 @@
+"""The text operators on a small table with nulls, empty and long texts, copies and clashing columns, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from tessera.llm import decontaminate, lm, pieces, pii, quality, shards, simhash, substrings, toxicity, warc
+
+random.seed(7)
+WORDS = ["the", "of", "and", "Tion", "ering", "thand", "éau", "über", "ñas", "on", "x", "moron,", "re.", "|", "a@b.example.com", "10.0.0.1", "+1 (988) 555-2485"]
+
+
+def words(n):
+    return " ".join(random.choice(WORDS) + random.choice(["", "", str(random.randint(0, 99))]) for _ in range(n))
+
+
+LONG = words(6000)
+SHARED = words(80)
+NEAR = words(120).split(" ")
+TEXTS = [None, "", " \n\t", "one", "two words", LONG, LONG, SHARED, f"{words(30)}\n{SHARED}\n{words(5)}", f"{SHARED} {SHARED}", "z" * 5000, *["same text of seven words in all"] * 9]
+TEXTS += [" ".join(w if k != i else "changed" for k, w in enumerate(NEAR)) for i in range(0, 100, 5)]
+TEXTS += [words(random.randint(1, 150)) for _ in range(60)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}", 0, "clash", i, 1.0) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp bigint, score double")
+    return df.repartition(3)
+
+
+def empty(docs):
+    return docs.where("false")
+
+
+def rows_of(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs):
+    got = rows_of(simhash.simhash_components(docs))
+    fps = [brute_fingerprint(t) for t in TEXTS]
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{f:016x}", find(i)) for i, f in enumerate(fps)}
+    assert simhash.simhash_components(empty(docs)).count() == 0
+    kept = simhash.dedup(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(fps))}
+
+
+def test_simhash_tiles():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 300).astype(np.uint64)
+    a = np.unique(np.concatenate([a, a[:100] ^ np.uint64(5), a[:50] ^ np.uint64(1 << 40 | 3)]))
+    node, root = simhash.tile_forest(a, None, 3)
+    from_forest = dict(zip(node.tolist(), root.tolist()))
+    near = np.bitwise_count(a[:, None] ^ a[None]) <= 3
+    lab = np.arange(len(a))
+    for _ in range(len(a)):
+        new = np.array([lab[row].min() for row in near])
+        if (new == lab).all():
+            break
+        lab = new
+    assert {x: from_forest.get(x, x) for x in a.tolist()} == {x: a[k].item() for x, k in zip(a.tolist(), lab)}
+
+
+def test_pieces(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = rows_of(pieces.encode_decode(docs))
+    for i, t in enumerate(TEXTS):
+        ids = sp.encode(t or "")
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
+    vocab = pieces.pieces(pieces.default_model())
+    for _ in range(2000):
+        t = "".join(random.choice("abth ▁\n\té😀1.!\x00") for _ in range(random.randint(0, 60)))
+        ids, back = vocab.encode_decode(t)
+        assert ids == ",".join(map(str, sp.encode(t))) and back == sp.decode(sp.encode(t))
+    assert pieces.encode_decode(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("most", [lm.MOST_FILTER, 1])
+def test_lm(docs, most):
+    got = rows_of(lm.score(docs, most))
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(TEXTS))}
+    toks = [(t or "").encode().lower().split() for t in TEXTS]
+    c, ends = Counter(), 0
+    for i, w in enumerate(toks):
+        if not held[i]:
+            c.update(w)
+            ends += 1
+    n, v = sum(c.values()) + ends, len(c) + 1
+    for i, w in enumerate(toks):
+        r = got[i]
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w) + 1, 1 + sum(c[x] > 0 for x in w), n)
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+        assert r["score"] >= r["base_score"] - math.log10(len(lm.SHARES)) - 1e-9 and r["score"] <= 1e-9
+    assert lm.score(empty(docs)).count() == 0
+
+
+def test_lm_filter():
+    keys = np.random.default_rng(0).integers(0, 2**40, 20_000).astype(np.uint64)
+    n = np.random.default_rng(1).integers(2, 200, 20_000)
+    levels = lm.level_of(n)
+    size = int(levels.sum()) * lm.BITS
+    own = lm.Filter(np.array([size], dtype=np.uint64), np.array([0]), lm.Filter.segment(keys, levels.astype(np.uint8), size))
+    got = own.levels(np.zeros(len(keys), dtype=np.int64), keys)
+    assert (got >= levels).all() and (got == levels).mean() > 0.98
+    assert (own.levels(np.zeros(20_000, dtype=np.int64), keys ^ np.uint64(1 << 39)) > 0).mean() < 0.02
+    assert (lm.count_of(levels) <= n + 1e-9).all()
+
+
+def test_toxicity(spark):
+    clean = [" ".join(random.choice(["the", "of", "tree", "rain", "house", "blue", "walk"]) for _ in range(20)) for _ in range(300)]
+    rows = [(i, t + (random.choice([" vileword", " Nastyterm!", " vilewords."]) if i % 5 == 0 else ""), i) for i, t in enumerate(clean)] + [(1000, None, 0), (1001, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(5000, 1, 1), (7, 1, None)], "doc_id bigint, quality int, toxic int")
+    got = rows_of(toxicity.score(docs, labels))
+    assert len(got) == len(rows)
+    assert sum(got[i]["predicted"] == (i % 5 == 0) for i in range(300)) >= 297
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    none = toxicity.score(docs, labels.where("false")).collect()
+    assert all(r["score"] == 0 for r in none) and toxicity.score(docs.where("false"), labels).count() == 0
+
+
+def test_toxicity_index_is_exact():
+    rng = random.Random(3)
+    vocab = [f"t{i}" for i in range(40)]
+    vectors = [Counter(rng.choice(vocab) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    index = toxicity.build(list(range(400)), vectors, [i % 2 for i in range(400)], vocab)
+    for q in vectors[:60]:
+        t, v = index.vector(" ".join(w for w, n in q.items() for _ in range(n)))
+        ids, sims = index.nearest(t, v)
+        all_sims = np.zeros(len(index.ids))
+        for j, x in zip(t, v):
+            s, e = index.start[j, 0], index.start[j, -1]
+            all_sims[index.at[s:e]] += x * index.weight[s:e]
+        assert np.allclose(np.sort(all_sims)[::-1][: len(sims)], sims)
+
+
+def test_decontaminate(spark, docs):
+    item = [f"w{i}" for i in range(30)]
+    near = [w if i % 6 != 3 else "other" for i, w in enumerate(item)]
+    far = [w if i % 2 else "other" for i, w in enumerate(item)]
+    rows = [(900, "before " + " ".join(item) + " after"), (901, "x " + " ".join(near)), (902, " ".join(far)), (903, "uno dos here"), (904, None), (905, " ".join(item[:10]))]
+    more = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.select("doc_id", "text"))
+    bench = spark.createDataFrame([(1, " ".join(item).upper(), 5), (2, "Uno, dos!", 6), (3, None, 7), (4, "", 8)], "item_id bigint, text string, doc_id bigint")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 3), r["start"]) for r in decontaminate.contaminated(more, bench, most_broadcast=most).collect()}
+        assert got == {(900, 1): (1.0, 1), (901, 1): (0.85, 1), (903, 2): (1.0, 0)}
+    assert decontaminate.contaminated(more, bench.where("false")).count() == 0
+    assert decontaminate.contaminated(empty(docs), bench).count() == 0
+    assert {r["doc_id"] for r in decontaminate.clean(more, bench).collect()} == {r["doc_id"] for r in more.collect()} - {900, 901, 903}
+
+
+def test_warc(spark):
+    html = "<html><head><title>A &amp; b</title><style>p{}</style><script>var a='<p>';</script></head><body><!-- no --><h1>Hi</h1><p>one <b>two</b><br>thr&eacute;e <a class=x href='/l?a=1&amp;b'>l</a></p></body></html>"
+    pages = spark.createDataFrame([(1, "http://a/é", html, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "< 3 & <b", "x"), (1, "http://a/é", html, "x")], "page_id bigint, url string, html string, kind string")
+    recs = warc.derive(warc.responses(pages)).collect()
+    assert len(recs) == 15
+    one = {r["kind"]: bytes(r["record"]) for r in recs if r["page_id"] == 1}
+    parsed = {k: next(warc.parse(v)) for k, v in one.items()}
+    head = {k: dict(h) for k, (h, _) in parsed.items()}
+    assert parsed["conversion"][1].decode() == "A & b\nHi\none two\nthrée l"
+    assert head["metadata"]["WARC-Refers-To"] == head["conversion"]["WARC-Refers-To"] == head["response"]["WARC-Record-ID"]
+    assert head["conversion"]["WARC-Block-Digest"] == warc.digest(parsed["conversion"][1]) and "outlink: /l?a=1&b" in parsed["metadata"][1].decode()
+    assert [h for h, _ in warc.parse(b"".join(one.values()))] == [h for h, _ in parsed.values()]
+    out = warc.digests(warc.derive(warc.responses(pages))).collect()
+    assert len(out) == 15 and all(r["refers_to"] for r in out if r["record_type"] != "response")
+    assert warc.derive(warc.responses(pages.where("false"))).count() == 0
+
+
+def test_quality(docs):
+    got = rows_of(quality.quality(docs))
+    for i, t in enumerate(TEXTS):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        at = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = {j for k in range(len(w) - 4) if at[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(rep) > 20 * len(w)) and (not r["kept"] or not r["base_failed"])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+    assert quality.quality(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_substrings(docs, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "PIECE", 3000)
+    got = rows_of(substrings.remove_repeats(docs, 200))
+    raw = [(t or "").encode() for t in TEXTS]
+    n = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
+    for i, t in enumerate(raw):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if n[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        rest = bytes(c for c, g in zip(t, gone) if not g)
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), runs, hashlib.sha256(rest).hexdigest()), i
+    assert substrings.remove_repeats(empty(docs)).count() == 0
+
+
+def test_shards(spark, docs, tmp_path):
+    got = shards.assign(docs, 4).collect()
+    assert len(got) == len(TEXTS)
+    for s in range(4):
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+    assert all(r["size"] == len((TEXTS[r["doc_id"]] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((TEXTS[r["doc_id"]] or "").encode()) for r in got)
+    sizes = {v: b for v, (b, _) in shards.slot_sizes(shards.records(docs)).items()}
+    held = lambda m: [sum(sizes.get(v, 0) for v, s in enumerate(m.shard_of) if s == k) for k in range(m.shards)]
+    first = shards.build_map(sizes, 4)
+    assert max(held(first)) <= sum(sizes.values()) / 4 + max(sizes.values())
+    grown = shards.rebalance(first, sizes, 5)
+    assert grown.version == 2 and sum(held(grown)) == sum(sizes.values()) and max(held(grown)) <= sum(sizes.values()) / 5 + max(sizes.values()) * 1.01
+    for m in (first, grown):
+        m.write(spark, f"{tmp_path}/map")
+    assert shards.SlotMap.read(spark, f"{tmp_path}/map") == grown and shards.SlotMap.read(spark, f"{tmp_path}/map", 1) == first
+    assert shards.assign(empty(docs), 4).count() == 0
+
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(t):
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, t) if pii._ok(pii.KINDS[k], m[0]))
+
+
+def test_pii(docs):
+    got = rows_of(pii.spans(docs))
+    for i, t in enumerate(TEXTS):
+        base = brute_spans(t or "") if len(t or "") < 20_000 else pii.pattern_spans(t)
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == n for s in base) for n in range(4)]
+        assert not base or all(f"{pii.KINDS[k]}:{a}:{b}" in r["spans"].split(",") for a, k, b in base)
+    for _ in range(5000):
+        t = "".join(random.choice("0123456789 .@-+()ab%é\n") for _ in range(random.randint(0, 50)))
+        assert brute_spans(t) == pii.pattern_spans(t) and list(pii._runs(t)) == list(pii._quick_runs(t))
+    assert pii.spans(empty(docs)).count() == 0
+    red = rows_of(pii.redact(docs))
+    assert red[0]["text"] is None and pii.redact(docs).columns == docs.columns and not any(pii.pattern_spans(r["text"] or "") and "@b" in r["text"] for r in red.values())
+
+
+def test_field():
+    field = pii.train()
+    text = "call me on (269) 555-3296 or at 030 5551234 99, version 4.0. of 2004"
+    _, found = pii.spans_of([text], field)[0]
+    assert (11, 3, 25) in found and not any(a > 50 for a, _, _ in found)
+    right = sum(sorted(s for s in spans if pii._ok(pii.KINDS[s[1]], text[s[0] : s[2]])) == pii.spans_of([text], field)[0][1] for text, spans in pii.read_examples())
+    assert right >= len(pii.read_examples()) - 3
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    now = docs
+    for name, stage in c.STAGES[:-1]:
+        before, now = now, stage(spark, now, sf)
+        assert now.columns == docs.columns
+        assert 0 < now.count() <= before.count()
+    final = c.run(spark, sf)
+    assert {r["doc_id"] for r in final.collect()} == {r["doc_id"] for r in now.collect()}
