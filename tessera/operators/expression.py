@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,3 +167,120 @@ def is_counts(x: DataFrame) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def dispersion_binned(x: DataFrame, n: int | Column, n_top: int, bins: int = 20) -> DataFrame:
+    """(var, score, rank): log dispersion standardised within equal-width bins of log mean, the n_top largest.
+
+    x is on the natural scale, zeros counted by n. A bin of one gene takes its mean as deviation and 0 as mean."""
+    m = moments(x)
+    mean = F.col("s1") / n
+    var = (F.col("s2") - F.col("s1") * mean) / (n - F.lit(1))
+    g = m.select("var", F.log(var / mean).alias("d"), F.log1p(mean).alias("m")).where("d is not null")
+    box = g.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    b = F.least(F.floor((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    g = g.crossJoin(F.broadcast(box)).select("var", "d", F.when(F.col("hi") > F.col("lo"), b).otherwise(0).alias("b"))  # one row
+    s = g.groupBy("b").agg(F.avg("d").alias("mu"), F.stddev_samp("d").alias("sd"))
+    s = s.select("b", F.when(F.col("sd").isNull(), 0.0).otherwise(F.col("mu")).alias("mu"), F.coalesce("sd", "mu").alias("sd"))
+    z = g.join(F.broadcast(s), "b").select("var", ((F.col("d") - F.col("mu")) / F.col("sd")).alias("score"))  # at most `bins` rows
+    top = z.orderBy(F.desc_nulls_last("score"), "var").limit(n_top)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "var")).cast("bigint"))
+
+
+def size_factors(x: DataFrame) -> DataFrame:
+    """(sample, factor) by the median of ratios to the geometric means of genes that every sample has; x is (sample, var, value)."""
+    x = x.where("value > 0")
+    n = x.agg(F.count_distinct("sample").alias("ns"))
+    g = x.groupBy("var").agg(F.avg(F.log("value")).alias("mean"), F.count("*").alias("k")).crossJoin(F.broadcast(n)).where("k = ns")  # one row
+    return x.join(g, "var").groupBy("sample").agg(F.exp(F.percentile(F.log("value") - F.col("mean"), F.lit(0.5))).alias("factor"))
+
+
+def logistic_types(x: DataFrame, obs: DataFrame, weights: DataFrame, intercepts: dict[str, float]) -> DataFrame:
+    """(row, label, confidence): the label of largest logit (ties: least label) and its probability.
+
+    weights is (var, label, weight); the intercepts, one for each label, also serve rows without any stored entry."""
+    labels = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(float(v)).alias("b")) for k, v in sorted(intercepts.items())])
+    sums = x.join(weights, "var").groupBy("row", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    every = obs.select("row", F.explode(labels).alias("l")).select("row", "l.*").join(sums, ["row", "label"], "left")
+    every = every.select("row", "label", (F.coalesce("s", F.lit(0.0)) + F.col("b")).alias("logit"))
+    best = every.groupBy("row").agg(F.max("logit").alias("top"), F.sort_array(F.collect_list(F.struct((-F.col("logit")).alias("k"), "label")))[0]["label"].alias("label"))
+    return best.select("row", "label", (1 / (1 + F.exp(-F.col("top")))).alias("confidence"))
+
+
+def majority_vote(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """(cluster, label, share): each cluster's most frequent label, ties to the least."""
+    n = df.groupBy(cluster, label).agg(F.count("*").alias("n"))
+    g = n.groupBy(cluster).agg(F.sum("n").alias("t"), F.min(F.struct((-F.col("n")).alias("k"), F.col(label).alias("label"))).alias("b"))
+    return g.select(cluster, F.col("b.label").alias("label"), (-F.col("b.k") / F.col("t")).alias("share"))
+
+
+def pseudobulk_test(x: DataFrame, samples: DataFrame, tested: str, reference: str) -> DataFrame:
+    """(var, base_mean, log2_fold, se, stat, p, padj) of pseudobulk counts (sample, var, value) between two conditions
+    of samples (sample, condition): negative binomial regression with a log link and size factors, Wald test.
+
+    Dispersions are of moments, drawn halfway (on the log scale) to a trend a + b / mean. A gene is one row with the
+    counts of all samples, whose number is small; genes are spread over tasks and fitted by numpy in Arrow batches."""
+    s = samples.where(F.col("condition").isin(tested, reference)).join(size_factors(x), "sample")
+    rows = {r["sample"]: (r["factor"], r["condition"] == tested) for r in s.collect()}  # samples, not cells
+    names = sorted(rows)
+    factor, is_tested = np.array([rows[k][0] for k in names]), np.array([rows[k][1] for k in names], dtype=float)
+    if not 1 <= is_tested.sum() < len(names) or len(names) < 3:
+        raise ValueError("each condition needs samples, three in all")
+    at = {k: i for i, k in enumerate(names)}
+    place = F.element_at(F.create_map(*[F.lit(v) for kv in at.items() for v in kv]), F.col("sample"))
+    genes = x.where(F.col("sample").isin(names)).groupBy("var").agg(F.collect_list(F.struct(place.alias("k"), F.col("value").cast("double").alias("v"))).alias("c"))
+
+    def matrix(g: pd.DataFrame) -> np.ndarray:
+        y = np.zeros((len(g), len(names)))
+        for i, c in enumerate(g["c"]):
+            for e in c:
+                y[i, e["k"]] += e["v"]
+        return y
+
+    def moments_of(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = y / factor
+        within = sum(((q[:, m] - q[:, m].mean(axis=1, keepdims=True)) ** 2).sum(axis=1) for m in (is_tested > 0, is_tested == 0))
+        mean = np.maximum(q.mean(axis=1), 1e-9)
+        return mean, np.clip((within / (len(names) - 2) - mean * (1 / factor).mean()) / mean**2, 1e-4, 50)
+
+    def disperse(batches):
+        for g in batches:
+            mean, a = moments_of(matrix(g))
+            yield pd.DataFrame({"inv": 1 / mean, "a": a})
+
+    t = genes.mapInPandas(disperse, "inv double, a double").where("a > 0.0001")
+    t = t.agg(F.regr_slope("a", "inv"), F.regr_intercept("a", "inv"), F.percentile("a", F.lit(0.5))).first()
+    slope, base = max(t[0] or 0.0, 0.0), max(t[1] or 0.0, 1e-2 * (t[2] or 1.0), 1e-4)
+
+    def test(batches):
+        for g in batches:
+            y = matrix(g)
+            mean, a = moments_of(y)
+            a = np.sqrt(a * (base + slope / mean))[:, None]
+            b0, b1 = np.log(mean), np.zeros(len(y))
+            for _ in range(60):
+                mu = np.clip(factor * np.exp(np.clip(b0[:, None] + b1[:, None] * is_tested, -30, 30)), 1e-8, None)
+                w = mu / (1 + a * mu)
+                r = (y - mu) / (1 + a * mu)
+                w0, w1 = w.sum(axis=1) + 1e-9, (w * is_tested).sum(axis=1)
+                g0, g1 = r.sum(axis=1), (r * is_tested).sum(axis=1) - 1e-6 * b1
+                det = np.maximum(w0 * (w1 + 1e-6) - w1 * w1, 1e-12)
+                d0, d1 = ((w1 + 1e-6) * g0 - w1 * g1) / det, (w0 * g1 - w1 * g0) / det
+                b0, b1 = b0 + np.clip(d0, -2, 2), np.clip(b1 + np.clip(d1, -2, 2), -20, 20)
+                if max(np.abs(d0).max(initial=0), np.abs(d1).max(initial=0)) < 1e-8:
+                    break
+            yield pd.DataFrame({"var": g["var"], "base_mean": mean, "log2_fold": b1 / np.log(2), "se": np.sqrt(w0 / det) / np.log(2)})
+
+    kind = x.schema["var"].dataType.simpleString()
+    out = genes.mapInPandas(test, f"var {kind}, base_mean double, log2_fold double, se double").withColumn("stat", F.col("log2_fold") / F.col("se"))
+    return bh_adjust(out.withColumn("p", normal_tail(F.col("stat"))), "p", "var")
+
+
+def normal_tail(z: Column) -> Column:
+    """The two-sided normal p-value, by the rational approximation of Abramowitz and Stegun 7.1.26 (error under 2e-7)."""
+    v = F.abs(z) / F.lit(2.0**0.5)
+    t = 1 / (1 + 0.3275911 * v)
+    poly = F.lit(0.0)
+    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        poly = (poly + c) * t
+    return poly * F.exp(-v * v)

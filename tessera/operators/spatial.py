@@ -260,3 +260,47 @@ def centrality(edges: DataFrame) -> DataFrame:
     total = edges.agg(F.count_distinct("i").alias("total"))
     both = size.join(out, "li", "left").fillna(0, ["out"]).crossJoin(F.broadcast(total))
     return both.select(F.col("li").alias("label"), (F.col("out") / (F.col("total") - F.col("n"))).alias("degree"))
+
+
+def proximity_z(points: DataFrame, n_perms: int = 10, seed: int = 0) -> DataFrame:
+    """(li, lj, observed, mean, sd, z) of the median nearest distance of each pair of labels against label shuffles.
+
+    All shuffles are searched together: each permutation of a lib is a lib of its own. A pair that a shuffle lacks does
+    not count in its mean; z is null where the shuffles do not vary."""
+    observed = proximity(points).select("li", "lj", F.col("median_d").alias("observed"))
+    new = shuffled_labels(points, n_perms, seed).join(points.select("id", "x", "y", "lib"), "id")
+    new = new.select(F.struct("perm", "id").alias("id"), "x", "y", "label", F.concat_ws("|", "perm", "lib").alias("lib"))
+    each = nearest_type(new).groupBy(F.col("i.perm").alias("perm"), "li", "lj").agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    stats = each.groupBy("li", "lj").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"))
+    out = observed.join(stats, ["li", "lj"], "left")
+    return out.select("li", "lj", "observed", "mean", "sd", F.when(F.col("sd") > 1e-12, (F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"))
+
+
+def niche_enrichment(proportions: DataFrame, niches: DataFrame) -> DataFrame:
+    """(niche, label, enrichment): log2 of the mean proportion (i, label, proportion) in a niche (i, niche) over the
+    mean of all points. Labels that a point lacks count as 0; a label that a niche lacks has no row."""
+    size = niches.groupBy("niche").agg(F.count("*").alias("n"))
+    total = niches.agg(F.count("*").alias("nt"))
+    own = proportions.join(niches, "i").groupBy("niche", "label").agg(F.sum("proportion").alias("s"))
+    whole = own.groupBy("label").agg(F.sum("s").alias("st"))
+    out = own.join(whole, "label").join(size, "niche").crossJoin(F.broadcast(total))  # one row
+    return out.select("niche", "label", F.log2((F.col("s") / F.col("n")) / (F.col("st") / F.col("nt"))).alias("enrichment"))
+
+
+def hilbert(x: Column, y: Column, box: tuple[float, float, float, float], bits: int = 16) -> Column:
+    """The place (long) of a point on a Hilbert curve of 2^bits x 2^bits cells over the box; null for null or NaN."""
+    most = (1 << bits) - 1
+    cell = lambda v, lo, hi: F.least(F.greatest(F.floor((v - lo) / max(hi - lo, 1e-300) * (most + 1)), F.lit(0)), F.lit(most)).cast("bigint")
+    start = F.struct(cell(x, box[0], box[2]).alias("x"), cell(y, box[1], box[3]).alias("y"), F.lit(0).cast("bigint").alias("d"))
+
+    def step(a: Column, s: Column) -> Column:
+        side = F.lit(1).cast("bigint") * s
+        rx, ry = (a["x"].bitwiseAND(side) > 0).cast("bigint"), (a["y"].bitwiseAND(side) > 0).cast("bigint")
+        flip = lambda v: F.when((ry == 0) & (rx == 1), F.lit(most) - v).otherwise(v)
+        nx = F.when(ry == 0, flip(a["y"])).otherwise(a["x"])
+        ny = F.when(ry == 0, flip(a["x"])).otherwise(a["y"])
+        return F.struct(nx.alias("x"), ny.alias("y"), (a["d"] + side * side * (3 * rx).bitwiseXOR(ry)).alias("d"))
+
+    sides = F.array(*[F.lit(1 << b).cast("bigint") for b in reversed(range(bits))])
+    ok = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    return F.when(ok, F.aggregate(sides, start, step)["d"])

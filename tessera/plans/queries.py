@@ -487,3 +487,89 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 def events_session(spark, sf):
     e = _t(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS start, count(*) AS n FROM events, range(4) t(k) GROUP BY 1, 2")
+def events_sliding(spark, sf):
+    e = _t(spark, sf, "events").groupBy("event_type", F.window("ts", "1 day", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return e.select("event_type", F.col("w.start").alias("start"), "n")
+
+
+# Scores against shuffles, niches, cell types, pseudobulk.
+
+
+@query("WITH " + P + f""", k AS (SELECT id, x, y, label, lib, q AS perm, md5(concat_ws('|', 0, q, id)) AS k FROM p, range(5) t(q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY perm, lib ORDER BY id) AS r, row_number() OVER (PARTITION BY perm, lib ORDER BY k, id) AS s FROM k),
+m AS (SELECT a.perm, a.lib, a.id, a.x, a.y, b.label FROM r a JOIN r b ON a.perm = b.perm AND a.lib = b.lib AND a.r = b.s UNION ALL SELECT -1, lib, id, x, y, label FROM p),
+t AS (SELECT a.perm, a.id, a.label AS li, b.label AS lj, min({D}) AS d FROM m a JOIN m b ON a.perm = b.perm AND a.lib = b.lib AND a.label <> b.label GROUP BY 1, 2, 3, 4),
+e AS (SELECT perm, li, lj, quantile_cont(d, 0.5) AS v FROM t GROUP BY 1, 2, 3), s AS (SELECT li, lj, avg(v) AS mean, stddev_pop(v) AS sd FROM e WHERE perm >= 0 GROUP BY 1, 2)
+SELECT o.li, o.lj, round(v, 6) AS observed, round(mean, 6) AS mean, CASE WHEN sd > 1e-12 THEN round((v - mean) / sd, 4) END AS z FROM e o LEFT JOIN s ON s.li = o.li AND s.lj = o.lj WHERE perm = -1""")
+def proximity_zscore(spark, sf):
+    out = spatial.proximity_z(_points(spark, sf), 5)
+    return out.select("li", "lj", _r("observed").alias("observed"), _r("mean").alias("mean"), _r("z", 4).alias("z"))
+
+
+@query("WITH " + P + f""", e AS (SELECT a.id AS i, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS rk FROM p a JOIN p b ON a.lib = b.lib),
+s AS (SELECT lib AS niche, e.label, sum(1 / 20.0::DOUBLE) AS s FROM e JOIN p ON p.id = e.i WHERE rk <= 20 GROUP BY 1, 2), n AS (SELECT lib AS niche, count(*) AS n FROM p GROUP BY 1), w AS (SELECT label, sum(s) AS st FROM s GROUP BY 1)
+SELECT niche, label, round(log2((s / n) / (st / (SELECT count(*) FROM p))), 5) AS enrichment FROM s JOIN n USING (niche) JOIN w USING (label)""")
+def niche_enrichment(spark, sf):
+    p = _points(spark, sf)
+    out = spatial.niche_enrichment(spatial.composition(spatial.knn(p, 20, include_self=True)), p.select(F.col("id").alias("i"), F.col("lib").alias("niche")))
+    return out.select("niche", "label", _r("enrichment", 5).alias("enrichment"))
+
+
+@query(f"""WITH {X}, t AS (SELECT r, sum(value) AS t FROM x GROUP BY 1), y AS (SELECT v, value * (SELECT quantile_cont(t, 0.5) FROM t) / t AS value FROM x JOIN t USING (r)), n AS (SELECT count(*) AS n FROM orders),
+m AS (SELECT v, sum(value) / any_value(n) AS mean, (sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1) AS var FROM y, n GROUP BY 1), g AS (SELECT v, ln(var / mean) AS d, ln(1 + mean) AS m FROM m),
+h AS (SELECT v, d, CASE WHEN hi > lo THEN least(floor((m - lo) / (hi - lo) * 20), 19) ELSE 0 END AS b FROM g, (SELECT min(m) AS lo, max(m) AS hi FROM g)), s AS (SELECT b, avg(d) AS mu, stddev_samp(d) AS sd FROM h GROUP BY 1),
+z AS (SELECT v AS var, (d - CASE WHEN sd IS NULL THEN 0 ELSE mu END) / coalesce(sd, mu) AS score FROM h JOIN s USING (b)), k AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, var) AS rank FROM z) SELECT var, round(score, 4) AS score, rank FROM k WHERE rank <= 50""")
+def hvg_binned(spark, sf):
+    n = _t(spark, sf, "orders").count()
+    return ex.dispersion_binned(ex.normalize_total(_counts(spark, sf)), F.lit(n), 50).withColumn("score", _r("score", 4))
+
+
+def _bulk(spark, sf):
+    o = _t(spark, sf, "orders").join(_regions(spark, sf).select("c_custkey", "r_name"), F.col("o_custkey") == F.col("c_custkey"))
+    li = _t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return li.groupBy(F.col("r_name").alias("sample"), F.col("l_partkey").alias("var")).agg(F.sum("l_quantity").alias("value"))
+
+
+@query(f"""WITH u AS (SELECT r_name AS sample, l_partkey AS var, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN {REG.replace('customer JOIN', 'customer ON o_custkey = c_custkey JOIN')} GROUP BY 1, 2),
+g AS (SELECT var, avg(ln(value)) AS mean FROM u GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample) FROM u)) SELECT sample, round(exp(quantile_cont(ln(value) - mean, 0.5)), 6) AS factor FROM u JOIN g USING (var) GROUP BY 1""")
+def size_factors(spark, sf):
+    return ex.size_factors(_bulk(spark, sf)).withColumn("factor", _r("factor"))
+
+
+@query()
+def pseudobulk_de(spark, sf):
+    samples = _t(spark, sf, "region").select(F.col("r_name").alias("sample"), F.when(F.col("r_regionkey") < 3, "a").otherwise("b").alias("condition"))
+    return ex.pseudobulk_test(_bulk(spark, sf), samples, "b", "a")
+
+
+TYPES = {"a": 0.5, "b": 0.1, "c": -0.2}
+LOGIT = f"""WITH {X}, w AS (SELECT p_partkey AS v, label, ((p_partkey * m) % 7 - 3) / 64.0::DOUBLE AS weight FROM part, (VALUES ('a', 1), ('b', 2), ('c', 3)) t(label, m)), b AS (SELECT * FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.1::DOUBLE), ('c', -0.2::DOUBLE)) t(label, b)),
+s AS (SELECT r, label, sum(value * weight) AS s FROM x JOIN w USING (v) GROUP BY 1, 2), l AS (SELECT o_orderkey AS row, o_custkey % 50 AS cluster, b.label, coalesce(s, 0) + b AS logit FROM orders CROSS JOIN b LEFT JOIN s ON s.r = o_orderkey AND s.label = b.label),
+k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY logit DESC, label) AS rk FROM l) """
+
+
+def _types(spark, sf):
+    m = F.col("p_partkey")
+    w = _t(spark, sf, "part").select(m.alias("var"), F.explode(F.array(*[F.struct(F.lit(k).alias("label"), (((m * i) % 7 - 3) / 64.0).alias("weight")) for i, k in enumerate("abc", 1)])).alias("w")).select("var", "w.*")
+    return ex.logistic_types(_counts(spark, sf), _t(spark, sf, "orders").select(F.col("o_orderkey").alias("row")), w, TYPES)
+
+
+@query(LOGIT + "SELECT row, label, round(1 / (1 + exp(-logit)), 6) AS confidence FROM k WHERE rk = 1")
+def cell_types_logistic(spark, sf):
+    return _types(spark, sf).withColumn("confidence", _r("confidence"))
+
+
+@query(LOGIT + ", n AS (SELECT cluster, label, count(*) AS n FROM k WHERE rk = 1 GROUP BY 1, 2), v AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS t, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS rk FROM n) SELECT cluster, label, round(n / t, 6) AS share FROM v WHERE rk = 1")
+def cell_types_majority(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 50).alias("cluster"))
+    return ex.majority_vote(_types(spark, sf).join(o, "row"), "cluster", "label").withColumn("share", _r("share"))
+
+
+@query()
+def hilbert_order(spark, sf):
+    p = _points(spark, sf)
+    box = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return p.select("id", spatial.hilbert(F.col("x"), F.col("y"), tuple(box)).alias("h"))
