@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import expression as ex
-from tessera.operators import spatial
+from tessera.operators import graph, spatial
 from tessera.sources import readers, writers
 from tessera.streaming import windows
 
@@ -127,3 +127,17 @@ def test_streams(spark, tmp_path):
     assert windows.read_after(src, None).count() == 0
     first = [r["event_id"] for r in windows.read_after(src, 10, 5).collect()]
     assert first == sorted(first) and len(first) == 5 and first[0] > 10
+
+
+def test_communities(spark):
+    rng = np.random.default_rng(4)
+    group = np.arange(120) // 30
+    pairs = [(i, j) for i in range(120) for j in range(i) if rng.random() < (0.5 if group[i] == group[j] else 0.01)]
+    got = {r["id"]: r["community"] for r in graph.communities(spark.createDataFrame(pairs, "i bigint, j bigint"), rounds=10).collect()}
+    assert set(got) == {x for p in pairs for x in p}
+
+    def modularity(c):
+        m, deg = len(pairs), np.bincount(np.ravel(pairs))
+        return sum(c[i] == c[j] for i, j in pairs) / m - sum((sum(deg[i] for i in got if c[i] == k) / (2 * m)) ** 2 for k in set(c.values()))
+
+    assert modularity(got) > 0.6 * modularity({i: group[i] for i in got}) and all(c <= i for i, c in got.items())
