@@ -33,6 +33,7 @@ from tessera.llm.common import materialize
 
 CHUNK = 8 << 20
 MOST_FILTER = 64 << 20
+SLICE = 1 << 18  # tokens worked on at once
 BITS, PROBES = 12, 6
 BASE = 1.5  # ratio of two levels' counts
 LEAST = 2  # least count of a pair in the filter
@@ -100,6 +101,8 @@ class Filter:
 
     def levels(self, buckets: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The level of each pair, 0 if it isn't in the filter."""
+        if len(keys) > SLICE:
+            return np.concatenate([self.levels(buckets[at : at + SLICE], keys[at : at + SLICE]) for at in range(0, len(keys), SLICE)])
         out = np.zeros(len(keys), dtype=np.uint8)
         at = np.flatnonzero(self.sizes[buckets] > 0)
         level = 1
@@ -205,9 +208,9 @@ def word_counts(parts: DataFrame, bits: int) -> DataFrame:
 def _sequence(tokens: bytes, sizes: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of the word or -1 for the end, hash, hash before it, number of the text) of each token of a chunk."""
     flat, sizes = np.frombuffer(zlib.decompress(tokens), dtype=np.uint32), np.frombuffer(sizes, dtype=np.uint32).astype(np.int64)
-    text = np.repeat(np.arange(len(sizes)), sizes + 1)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
-    word = np.full(len(text), -1, dtype=np.int64)
+    word = np.full(len(text), -1, dtype=np.int32)
     is_word = np.ones(len(text), dtype=bool)
     is_word[ends] = False
     word[is_word] = flat
