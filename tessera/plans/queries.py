@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import expression as ex
-from tessera.operators import graph, spatial, tables
+from tessera.operators import graph, regions, spatial, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -573,3 +573,18 @@ def hilbert_order(spark, sf):
     p = _points(spark, sf)
     box = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     return p.select("id", spatial.hilbert(F.col("x"), F.col("y"), tuple(box)).alias("h"))
+
+
+@query(f"""WITH {P}, s AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, least(max(x) - min(x), max(y) - min(y)) / 60 AS s FROM p), c AS (SELECT id, label, CAST(floor((x - x0) / s) AS INT) AS bx, CAST(floor((y - y0) / s) AS INT) AS b_y FROM p, s),
+n AS (SELECT bx, b_y, count(*) AS n FROM c WHERE label IN (0, 1, 2) GROUP BY 1, 2), g AS (SELECT u.i AS bx, v.i AS b_y FROM s, range(100000) u(i), range(100000) v(i) WHERE u.i <= floor((x1 - x0) / s) AND v.i <= floor((y1 - y0) / s)),
+d AS (SELECT g.bx, g.b_y, sum(n * exp(-((g.bx - n.bx) ** 2 + (g.b_y - n.b_y) ** 2) / 18.0)) AS v FROM g LEFT JOIN n ON abs(g.bx - n.bx) <= 9 AND abs(g.b_y - n.b_y) <= 9 GROUP BY 1, 2),
+m AS (SELECT bx, b_y, coalesce(v, 0) >= 0.25 * max(v) OVER () AS m FROM d), e AS (SELECT a.bx, a.b_y, a.m, min((a.bx - b.bx) ** 2 + (a.b_y - b.b_y) ** 2) AS d FROM m a JOIN m b ON a.m <> b.m GROUP BY 1, 2, 3),
+f AS (SELECT id, CASE WHEN m THEN -1 ELSE 1 END * sqrt(d) * s AS d, 3 * s AS w FROM c JOIN e USING (bx, b_y), s)
+SELECT id, round(d, 6) AS signed_distance, CASE WHEN abs(d) <= w THEN 'margin' WHEN d < 0 THEN 'core' ELSE 'stroma' END AS compartment FROM f""")
+def mask_boundary(spark, sf):
+    return regions.mask_boundary(_points(spark, sf), [0, 1, 2]).withColumn("signed_distance", _r("signed_distance"))
+
+
+@query()
+def tissue_cores(spark, sf):
+    return regions.tissue_cores(_points(spark, sf), rows=3, columns=4)
