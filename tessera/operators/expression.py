@@ -214,13 +214,14 @@ def majority_vote(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return g.select(cluster, F.col("b.label").alias("label"), (-F.col("b.k") / F.col("t")).alias("share"))
 
 
-def pseudobulk_test(x: DataFrame, samples: DataFrame, tested: str, reference: str) -> DataFrame:
+def pseudobulk_test(x: DataFrame, samples: DataFrame, tested: str, reference: str, factors: DataFrame | None = None) -> DataFrame:
     """(var, base_mean, log2_fold, se, stat, p, padj) of pseudobulk counts (sample, var, value) between two conditions
-    of samples (sample, condition): negative binomial regression with a log link and size factors, Wald test.
+    of samples (sample, condition): negative binomial regression with a log link and size factors (default: median of
+    ratios), Wald test.
 
     Dispersions are of moments, drawn halfway (on the log scale) to a trend a + b / mean. A gene is one row with the
     counts of all samples, whose number is small; genes are spread over tasks and fitted by numpy in Arrow batches."""
-    s = samples.where(F.col("condition").isin(tested, reference)).join(size_factors(x), "sample")
+    s = samples.where(F.col("condition").isin(tested, reference)).join(size_factors(x) if factors is None else factors, "sample")
     rows = {r["sample"]: (r["factor"], r["condition"] == tested) for r in s.collect()}  # samples, not cells
     names = sorted(rows)
     factor, is_tested = np.array([rows[k][0] for k in names]), np.array([rows[k][1] for k in names], dtype=float)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import expression as ex
-from tessera.operators import graph, spatial, tables
+from tessera.operators import graph, regions, spatial, tables
 
 State = dict[str, DataFrame]
 REQUIRED = object()
@@ -116,7 +116,8 @@ def _(s, top):
 
 @operator("filter_cells", "counts", "counts", min_counts=0, min_genes=0)
 def _(s, min_counts, min_genes):
-    return {"counts": ex.filter_rows(s["counts"], min_counts, min_genes)}
+    kept = ex.filter_rows(s["counts"], min_counts, min_genes)
+    return {"counts": kept} | ({"obs": s["obs"].join(kept.select("row").distinct(), "row", "left_semi")} if "obs" in s else {})
 
 
 @operator("filter_genes", "counts", "counts", min_cells=1)
@@ -226,6 +227,40 @@ def _(s):
     return {"ligand_receptor": ex.ligrec(s["counts"], s["clusters"].select(F.col("id").alias("row"), F.col("community").alias("grp")), s["pairs"])}
 
 
+@operator("dense_vectors", "counts obs variable", "vectors")
+def _(s):
+    return {"vectors": graph.dense_vectors(s["counts"], s["obs"], s["variable"])}
+
+
+@operator("dendrogram", "pca clusters", "dendrogram")
+def _(s):
+    return {"dendrogram": graph.dendrogram(s["pca"].select("id", F.col("pc").alias("v")), s["clusters"])}
+
+
+@operator("differential_abundance", "pca obs", "abundance", sample_key=REQUIRED, condition_key=REQUIRED, k=30, prop=0.1, refine=True, seed=0)
+def _(s, sample_key, condition_key, k, prop, refine, seed):
+    v = s["pca"].select("id", F.col("pc").alias("v"))
+    cells = v.join(s["obs"].select(F.col("row").alias("id"), F.col(sample_key).alias("sample"), F.col(condition_key).alias("condition")), "id")
+    return {"abundance": graph.differential_abundance(cells, spatial.knn_vectors(v, k), prop, refine, seed)}
+
+
+@operator("region_boundary", "points", "boundary", interior_labels=REQUIRED, threshold=0.25, cell_type_key="label")
+def _(s, interior_labels, threshold, cell_type_key):
+    return {"boundary": regions.mask_boundary(_typed(s, cell_type_key), interior_labels, threshold=threshold)}
+
+
+@operator("tissue_cores", "points", "cores", angle=0.0, rows=0, columns=0)
+def _(s, angle, rows, columns):
+    return {"cores": regions.tissue_cores(s["points"], angle, rows or None, columns or None)}
+
+
+@operator("cell_types", "counts obs weights clusters", "types votes", intercepts=REQUIRED)
+def _(s, intercepts):
+    types = ex.logistic_types(s["counts"], s["obs"], s["weights"], intercepts)
+    own = types.join(s["clusters"].select(F.col("id").alias("row"), F.col("community").alias("cluster")), "row")
+    return {"types": types, "votes": ex.majority_vote(own, "cluster", "label")}
+
+
 def recipe(key: str, steps: list[tuple[str, dict[str, Any]]], **params: Any) -> None:
     RECIPES[key] = Recipe(key, params, tuple(steps))
 
@@ -245,3 +280,11 @@ recipe("point_patterns", [("ripley", {"radii": "$radii", **_TYPE})], cluster_key
 recipe("composition_by_region", [("region_composition", {"region_key": "$region_key", "cell_type_key": "$cell_type_key"})], region_key=REQUIRED, cell_type_key=REQUIRED)
 recipe("neighborhoods", [("cell_neighborhoods", {"cell_type_key": "$cell_type_key", "resolution": "$resolution"}), ("niche_enrichment", {})], cell_type_key="label", resolution=0.1)
 recipe("pseudobulk", [("pseudobulk_test", {"tested": "$tested", "reference": "$reference"})], tested=REQUIRED, reference=REQUIRED)
+_COUNTS = [*_NORMAL, ("variable_genes", {"n_top": "$n_top"}), ("dense_vectors", {}), *_CLUSTER]
+_MARKERS = ("marker_genes", {"n_genes": "$n_genes"})
+recipe("qc_filter_cluster", [("qc", {}), ("filter_cells", {"min_genes": "$min_genes"}), ("filter_genes", {"min_cells": "$min_cells"}), *_COUNTS], min_genes=10, min_cells=3, target=0, n_top=2000, resolution=1.0)
+recipe("cluster_and_neighborhoods", [*_COUNTS, _EDGES, ("neighborhood_enrichment", _TYPE)], target=0, n_top=2000, resolution=1.0, cluster_key="label", n_neighs=6)
+recipe("spots_analysis", [("qc", {}), ("filter_cells", {"min_counts": "$min_counts"}), ("filter_genes", {"min_cells": 10}), *_COUNTS, _MARKERS], min_counts=5000, target=0, n_top=2000, resolution=1.0, n_genes=25)
+recipe("imaged_cells_clustering", _COUNTS, target=1_000_000, n_top=2000, resolution=1.0)
+recipe("cluster_hierarchy_and_markers", [*_CLUSTER, ("dendrogram", {}), _MARKERS], resolution=1.0, n_genes=25)
+recipe("assign_cell_types", [("cell_types", {"intercepts": "$intercepts"})], intercepts=REQUIRED)

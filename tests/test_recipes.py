@@ -26,7 +26,7 @@ def test_checks():
 
 
 def test_every_recipe_binds():
-    given = {"edges": [0.0, 0.1], "radii": [0.1], "region_key": "a", "cell_type_key": "b", "tested": "t", "reference": "u"}
+    given = {"edges": [0.0, 0.1], "radii": [0.1], "region_key": "a", "cell_type_key": "b", "tested": "t", "reference": "u", "intercepts": {"a": 0.1}}
     for x in r.RECIPES.values():
         assert r.steps_of(x, {k: v for k, v in given.items() if k in x.params})
 
@@ -46,3 +46,18 @@ def test_runs(spark):
     out = r.run("preprocess", {"counts": counts}, {"min_counts": 50, "target": 100})
     total = out["counts"].groupBy("row").agg(F.sum(F.expm1("value")).alias("t"))
     assert total.where(F.abs(F.col("t") - 100) > 1e-6).count() == 0 and 0 < total.count() < counts.select("row").distinct().count()
+
+
+def test_counts_to_markers(spark):
+    rows = [(i, g, 5.0 if g // 10 == i % 2 else 1.0) for i in range(40) for g in range(20) if (i * g) % 7 or g % 10 == 0] + [(99, 1, 1.0)]
+    counts = spark.createDataFrame(rows, "row bigint, var int, value double")
+    obs = spark.createDataFrame([(i,) for i in [*range(40), 99]], "row bigint")
+    have = {"counts": counts, "obs": obs}
+    steps = [("filter_cells", {"min_genes": 2}), ("normalize", {}), ("log1p", {}), ("variable_genes", {"n_top": 15}), ("dense_vectors", {})]
+    out = r.run(r.Recipe("x", {}, tuple(steps)), have)
+    got = {x["id"]: x["v"] for x in out["vectors"].collect()}
+    assert set(got) == set(range(40)) and all(len(v) == 15 for v in got.values())
+    rank = {x["var"]: x["rank"] for x in out["variable"].collect()}
+    want = {(x["row"], x["var"]): x["value"] for x in out["counts"].collect()}
+    assert all(abs(got[i][k - 1] - want.get((i, v), 0.0)) < 1e-12 for i in got for v, k in rank.items())
+    assert r.preflight(r.RECIPES["spots_analysis"], {"counts", "obs"}) == []

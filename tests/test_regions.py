@@ -1,9 +1,9 @@
-"""Masks and tissue cores on planted shapes."""
+"""Masks, tissue cores, abundance and hierarchies on planted shapes."""
 
 import numpy as np
 import pytest
 
-from tessera.operators import regions
+from tessera.operators import graph, regions, spatial
 
 
 def test_tissue_cores(spark):
@@ -58,3 +58,41 @@ def test_mask(spark):
     assert len(got) == 6001 and got[9999]["signed_distance"] is None and got[9999]["compartment"] is None
     with pytest.raises(ValueError):
         regions.mask_boundary(df, ["in", "other"])
+
+
+def test_differential_abundance(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(8):  # the second cloud grows eightfold under condition b: from a sixth of the cells to three fifths
+        for centre, n in ((0.0, 100), (8.0, 20 if s < 4 else 160)):
+            rows += [(0, [float(x) for x in rng.normal(centre, 1, 3)], f"s{s}", "a" if s < 4 else "b") for _ in range(n)]
+    rows = [(i, *x[1:]) for i, x in enumerate(rows)]
+    cells = spark.createDataFrame(rows, "id bigint, v array<double>, sample string, condition string")
+    near = spatial.knn_vectors(cells.select("id", "v"), 60).persist()
+    hoods = graph.neighbourhoods(cells, near, 0.2).collect()
+    size = {h: sum(x["hood"] == h for x in hoods) for h in {x["hood"] for x in hoods}}
+    assert 20 < len(size) < 350 and set(size.values()) == {61}
+    got = graph.differential_abundance(cells, near, 0.2).collect()
+    place = {x[0]: x[1][0] > 4 for x in rows}
+    up = [x["log2_fold"] for x in got if place[x["hood"]]]
+    down = [x["log2_fold"] for x in got if not place[x["hood"]]]
+    assert min(up) > 0 and np.mean(up) > 1 and -2 < np.mean(down) < 0  # shares fall where the other cloud grows
+    assert np.mean([x["spatial_fdr"] < 0.1 for x in got if place[x["hood"]]]) > 0.8
+    far = {h: max(x["d"] for x in hoods if x["hood"] == h) for h in size}
+    ps = sorted((x["p"], x["hood"], x["spatial_fdr"]) for x in got)
+    w = np.array([1 / far[h] for _, h, _ in ps])
+    q = np.array([p for p, _, _ in ps]) * w.sum() / np.cumsum(w)
+    assert np.allclose([f for _, _, f in ps], np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1))
+    with pytest.raises(ValueError):
+        graph.differential_abundance(cells.where("condition = 'a'"), near)
+
+
+def test_dendrogram(spark):
+    base = {1: [1.0, 2.0, 3.0, 4.0], 2: [1.0, 2.0, 3.0, 4.5], 3: [4.0, 3.0, 2.0, 1.0], 4: [4.2, 3.0, 2.0, 0.0]}
+    v = spark.createDataFrame([(i, base[i % 4 + 1]) for i in range(40)], "id bigint, v array<double>")
+    g = spark.createDataFrame([(i, i % 4 + 1) for i in range(40)], "id bigint, community bigint")
+    got = graph.dendrogram(v, g).orderBy("step").collect()
+    assert {(x["left"], x["right"]) for x in got[:2]} == {(1, 2), (3, 4)} and (got[2]["left"], got[2]["right"], got[2]["size"]) == (1, 3, 4)
+    c = np.corrcoef(np.array([base[k] for k in sorted(base)]))
+    assert abs(got[2]["height"] - (1 - c[:2, 2:].min())) < 1e-9
+    assert graph.dendrogram(v.where("false"), g).count() == 0
