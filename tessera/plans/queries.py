@@ -588,3 +588,20 @@ def mask_boundary(spark, sf):
 @query()
 def tissue_cores(spark, sf):
     return regions.tissue_cores(_points(spark, sf), rows=3, columns=4)
+
+
+def _cells(spark, sf):
+    v = F.col("embedding").cast("array<double>").alias("v")
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), v, (F.col("vec_id") % 8).alias("sample"), F.when(F.col("vec_id") % 8 < 4, "a").otherwise("b").alias("condition"), "label")
+
+
+@query()
+def differential_abundance(spark, sf):
+    c = _cells(spark, sf)
+    return graph.differential_abundance(c, spatial.knn_vectors(c.select("id", "v"), 30))
+
+
+@query()
+def dendrogram(spark, sf):
+    c = _cells(spark, sf)
+    return graph.dendrogram(c.select("id", "v"), c.select("id", F.col("label").alias("community")))

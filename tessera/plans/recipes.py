@@ -261,6 +261,13 @@ def _(s, intercepts):
     return {"types": types, "votes": ex.majority_vote(own, "cluster", "label")}
 
 
+@operator("paga", "graph clusters", "paga")
+def _(s):
+    c = s["clusters"]
+    e = s["graph"].select("i", "j").join(c.select(F.col("id").alias("i"), F.col("community").alias("li")), "i").join(c.select(F.col("id").alias("j"), F.col("community").alias("lj")), "j")
+    return {"paga": spatial.paga(e)}
+
+
 def recipe(key: str, steps: list[tuple[str, dict[str, Any]]], **params: Any) -> None:
     RECIPES[key] = Recipe(key, params, tuple(steps))
 
@@ -288,3 +295,6 @@ recipe("spots_analysis", [("qc", {}), ("filter_cells", {"min_counts": "$min_coun
 recipe("imaged_cells_clustering", _COUNTS, target=1_000_000, n_top=2000, resolution=1.0)
 recipe("cluster_hierarchy_and_markers", [*_CLUSTER, ("dendrogram", {}), _MARKERS], resolution=1.0, n_genes=25)
 recipe("assign_cell_types", [("cell_types", {"intercepts": "$intercepts"})], intercepts=REQUIRED)
+recipe("marker_genes", [_MARKERS, ("dotplot", {})], n_genes=25)
+recipe("ligand_receptor", [("ligand_receptor", {})])
+recipe("trajectory_graph", [*_COUNTS, ("paga", {})], target=0, n_top=2000, resolution=1.0)
