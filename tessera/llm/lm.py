@@ -10,7 +10,8 @@ The corpus is cut once into chunks of about `CHUNK` bytes, written to the shared
 hashes (56 bits). Word counts are exact up to hash collisions: each chunk sends its distinct words' hashes to hash
 buckets and gets their corpus counts back, so no vocabulary is broadcast. Pair counts are added up in hash buckets of
 bounded size. Filter segments are broadcast in groups of at most `MOST_FILTER` bytes; a larger filter takes several
-passes over the chunks, each probing the pairs of its segments, with the same results.
+passes over the chunks, each probing the pairs of its segments, with the same results. A chunk's tokens are probed in
+slices of `SLICE`, which bounds a worker's memory beside the filter.
 
 Training texts are those whose crc32(doc_id) mod 7 is not 2 (a null doc_id trains). Nulls are empty texts: one token,
 the end. Extra columns are ignored, repeated rows train and are scored each; an empty table gives an empty result.
