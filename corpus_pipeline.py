@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, pieces, pii, quality, simhash
+from tessera.llm import decontaminate, near, pieces, pii, quality
 from tessera.llm.common import materialize, table
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each component of near copies."""
-    return simhash.dedup(docs)
+    """One document, that of least doc_id, of each component of near copies (5-word shingles, similarity 0.8 or more)."""
+    return near.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

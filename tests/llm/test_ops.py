@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import decontaminate, lm, pieces, pii, quality, shards, simhash, substrings, toxicity, warc
+from tessera.llm import decontaminate, lm, near, pieces, pii, quality, shards, simhash, substrings, toxicity, warc
 
 random.seed(7)
 WORDS = ["the", "of", "and", "Tion", "ering", "thand", "éau", "über", "ñas", "on", "x", "moron,", "re.", "|", "a@b.example.com", "10.0.0.1", "+1 (988) 555-2485"]
@@ -90,6 +90,46 @@ def test_simhash_tiles():
     assert {x: from_forest.get(x, x) for x in a.tolist()} == {x: a[k].item() for x, k in zip(a.tolist(), lab)}
 
 
+@pytest.mark.parametrize("few", [near.FEW, 0])
+def test_near(spark, docs, few, monkeypatch):
+    monkeypatch.setattr(near, "FEW", few)
+    base, rng = [f"v{k}" for k in range(200)], random.Random(3)
+    spread = [" ".join(base[:i] + ["new"] + base[i + 1 :] if k % 2 else base[i % 9 : 200 - i % 7] + [f"end{i}"]) for k, i in enumerate(range(5, 195, 5))]
+    chain = [" ".join(f"c{k}" for k in range(6 * i, 6 * i + 100)) for i in range(12)]
+    far = [" ".join(w if rng.random() > 0.08 else "z" for w in base) for _ in range(10)]
+    texts = [*TEXTS, *spread, *chain, *far]
+    more = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = [r["doc_id"] for r in near.dedup(more).collect()]
+    assert sorted(kept) == sorted(set(root))
+    assert near.dedup(docs).columns == docs.columns and near.dedup(empty(docs)).count() == 0
+
+
+def test_near_without_ids(spark):
+    t = words(60)
+    rows = [(None, t, "a"), (None, t + " end", "b"), (None, words(60), "c"), (7, t, "d"), (7, t, "e"), (8, "x y", "f")]
+    got = near.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == 3 and {r["source"] for r in got} - {"d", "e"} == {"c", "f"}
+
+
+def test_near_in_pipeline(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(150)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:40], "x", *w[41:90], "y", *w[91:]]))]  # 136 of 156 shingles in common
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()] == [1]
+    assert (simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode())).bit_count() > simhash.RADIUS
+
+
 def test_pieces(docs):
     import sentencepiece
 
