@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 # Fixed values of this operator: the seed masks, tried on every window.
 MASKS = ("1111", "11011", "1010101")
 STRETCH = 20
@@ -85,6 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", mos
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no benchmark item."""
-    gone = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs that contain no benchmark item. Each row is judged on its own, with or without a doc_id."""
+    rows = materialize(docs.withColumn("clean_row", F.monotonically_increasing_id()), "numbered")
+    gone = contaminated(rows, benchmark, "clean_row").select("clean_row").distinct()
+    return rows.join(gone, "clean_row", "left_anti").select(*docs.columns)

@@ -130,6 +130,14 @@ def test_near_in_pipeline(spark):
     assert (simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode())).bit_count() > simhash.RADIUS
 
 
+def test_clean_without_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, f"a {item}", 1), (None, "nothing of it", 2), (5, "other", 3), (5, item, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert sorted(r["n"] for r in decontaminate.clean(docs, bench).collect()) == [2, 3]
+
+
 def test_pieces(docs):
     import sentencepiece
 
