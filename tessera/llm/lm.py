@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-The filter holds quantised counts of the word pairs that training texts have at least twice: a pair of level q is
+The filter holds quantised counts of all word pairs of the training texts: a pair of level q is
 entered with each level 1 to q, and its count is found by probing levels until one is missing. The probability of a
 word is a mixture of the pair estimate and the add-one estimate of the word alone; a text's probability is the mean
 over the mixture weights `SHARES`, so it is at most a factor 1/len(SHARES) below the word model's. Lower-bound counts
@@ -36,8 +36,7 @@ CHUNK = 8 << 20
 MOST_FILTER = 64 << 20
 SLICE = 1 << 18  # tokens worked on at once
 BITS, PROBES = 12, 6
-BASE = 1.5  # ratio of two levels' counts
-LEAST = 2  # least count of a pair in the filter
+BASE = 1.5  # ratio of two levels' counts from level 2 (count 2) on; level 1 is count 1
 SHARES = (0.0, 0.1, 0.3, 0.6, 0.9)
 _U = np.uint64
 END, START = _U(1), _U(2)  # in place of word hashes
@@ -60,12 +59,12 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(counts / LEAST) / np.log(BASE) + 1e-9).astype(np.int64) + 1
+    return np.where(counts < 2, 1, np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(BASE) + 1e-9).astype(np.int64) + 2)
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
     """The least count of a level; 0 at level 0."""
-    return np.where(levels > 0, LEAST * BASE ** (levels.astype(float) - 1), 0.0)
+    return np.where(levels > 1, 2 * BASE ** (levels.astype(float) - 2), levels.astype(float))
 
 
 def _pack(x: np.ndarray, n: int) -> bytes:
@@ -229,7 +228,7 @@ def _split_key(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_counts(parts: DataFrame, bits: int) -> DataFrame:
-    """(bucket, keys, counts, entries): the pairs with at least LEAST occurrences in training texts."""
+    """(bucket, keys, counts, entries): all pairs of training texts."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +251,6 @@ def pair_counts(parts: DataFrame, bits: int) -> DataFrame:
         keys, back = np.unique(np.concatenate([*one, *more]), return_inverse=True)
         n = np.concatenate([np.ones(sum(map(len, one)), dtype=np.int64), *(np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in group["n"].to_pylist())])
         total = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-        keep = total >= LEAST
-        keys, total = keys[keep], total[keep]
         return pa.table({"bucket": group["bucket"][:1], "keys": pa.array([_pack(keys, 5)], pa.binary()), "levels": pa.array([level_of(total).astype(np.uint8).tobytes()], pa.binary()), "entries": pa.array([int(level_of(total).sum())], pa.int64())})
 
     rows = parts.select("held", "sizes", "tokens", "hashes").mapInArrow(spread, "bucket int, one binary, more binary, n binary")

@@ -175,6 +175,16 @@ def test_lm(docs, most):
     assert lm.score(empty(docs)).count() == 0
 
 
+def test_lm_keeps_pairs_seen_once(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(100) if i not in held]
+    once, other = "alpha beta gamma delta", "delta beta alpha gamma"
+    rows = [(train[0], once), *((i, f"x{i} y{i}") for i in train[1:20]), (held[0], once), (held[1], other)]
+    got = rows_of(lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[held[0]]["score"] > got[held[0]]["base_score"] and got[held[0]]["score"] > got[held[1]]["score"] + 1
+    assert lm.count_of(lm.level_of(np.array([1, 2, 3, 5]))).tolist() == [1, 2, 3, 4.5]
+
+
 def test_lm_filter():
     keys = np.random.default_rng(0).integers(0, 2**40, 20_000).astype(np.uint64)
     n = np.random.default_rng(1).integers(2, 200, 20_000)
