@@ -7,7 +7,7 @@ each hit the benchmark item is laid over the document on the hit's diagonal, and
 
 Tokens are lower-case runs of letters and digits. The masks find every stretch of 20 or more tokens whose substitutions
 are at most a fifth and no two within two tokens of each other, and nearly all others; items shorter than a mask are found
-by contiguous masks of their own length. The benchmark's hashes are broadcast while they number at most
+by contiguous masks of their own length, those of five tokens also by two masks with a gap. The benchmark's hashes are broadcast while they number at most
 `BROADCAST_SEEDS`; beyond it narrow (doc_id, place, hash) rows are joined by shuffle and the words of the documents
 with hits are joined back. Both ways give the same rows. A hit is verified where it is found, so a frequent passage
 costs one row per document and no pairs of documents are formed.
@@ -25,6 +25,7 @@ from tessera.llm.common import materialize
 
 # Fixed values of this operator: the seed masks, tried on every window.
 MASKS = ("1111", "11011", "1010101")
+FIVE = ("10111", "11101")  # besides, if there are items of five tokens: their second or fourth may differ
 STRETCH = 20
 SIMILARITY = 0.8
 BROADCAST_SEEDS = 2_000_000
@@ -65,7 +66,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", mos
     items = benchmark.select(F.col("item_id").alias("item"), tokens("text").alias("words")).where("size(words) > 0")
     span = max(map(len, MASKS))
     short = [r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect()]  # at most span rows
-    masks = (*MASKS, *(m for n in sorted(short) if (m := "1" * n) not in MASKS))
+    masks = (*MASKS, *(m for n in sorted(short) if (m := "1" * n) not in MASKS), *(FIVE if 5 in short else ()))
     seeds = _seeds(items, masks)
     doc = docs.select(F.col(key).alias("id"), tokens("text").alias("words"))
     doc = doc.select("id", "words", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))

@@ -130,6 +130,13 @@ def test_near_in_pipeline(spark):
     assert (simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode())).bit_count() > simhash.RADIUS
 
 
+def test_decontaminate_five_tokens(spark):
+    rows = [(k, " ".join("z" if i == k else f"w{i}" for i in range(5))) for k in range(6)]
+    bench = spark.createDataFrame([(1, "w0 w1 w2 w3 w4")], "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["similarity"]) for r in got) == [*((k, 0.8) for k in range(5)), (5, 1.0)]
+
+
 def test_clean_without_ids(spark):
     item = " ".join(f"w{k}" for k in range(30))
     rows = [(None, f"a {item}", 1), (None, "nothing of it", 2), (5, "other", 3), (5, item, 4)]
