@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -11,26 +11,60 @@ from pyspark.sql import functions as F
 
 #: ASCII white space between words, as a Java/RE2 regular expression.
 SPACE = r"[\x20\x09-\x0D]"
+_ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a
+    temporary one; on a cluster that is an error, as each machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "tessera-shared")
-    os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def _root(spark: SparkSession) -> str:
+    """The folder of this application in the shared one; it goes when the driver's process ends."""
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        atexit.register(_delete, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return root
+
+
+def _delete(files, path) -> None:
+    try:
+        files.delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM or the folder may be gone when the process ends
+        pass
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor
-    costs nothing, as the files are not on it."""
+    costs nothing, as the files are not on it. The table stays until `discard` or the end of the driver."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of `materialize` that no plan will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.tessera_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a").where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(parent.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct()
-        pairs = materialize(small, "stars")
+        last, pairs = pairs, materialize(small, "stars")
+        discard(last)
         now = _digest(pairs)
         if now == state:
             break

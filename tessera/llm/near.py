@@ -1,18 +1,23 @@
-"""Near-duplicates of the pipeline: word shingles of five, similarity (Jaccard) of at least 0.8, candidates by min-hashes.
+"""Near copies of a given similarity by SimHash: word shingles of five, exact Jaccard of at least 0.8.
 
-Each text becomes the set of its distinct 5-word shingles (64-bit hashes; a shorter text is one shingle). Texts of one
-set are one node. Of 200 min-hashes, in 40 bands of 5, nodes that agree in a band are candidates if at most 52 of one bit of
-each of 192 min-hashes differ. A pair of similarity 0.8 agrees in no band with a chance of 1.3e-7, and has more bits
-that differ with one under 1e-10; closer ones less. No candidate links unless its exact Jaccard, worked out from both
-sets, is at least 0.8; documents of the linked components are near copies.
+The digest settings of `simhash` (three words, 64 bits, three bits' difference) find copies that are almost equal. Here
+the fingerprints have 256 bits, of the distinct shingles of five words, and are compared at a radius of 80 bits: at a
+similarity of 0.8 about 39 bits differ (binomial, standard deviation 6; 48 for sets of four and five shingles), so a
+pair is missed with a chance under 1e-5, mostly by the first 64 bits, which are compared alone at first. Texts of one
+set of shingles are one node (64-bit hash of the set).
 
-The members of a band's bucket are not paired one with all. In turns, one member of each bucket is compared with those
-that aren't in its component yet, and leaves; buckets of one component are done. When few pairs of different components
-are left (or after `TURNS` turns) all of these are compared. So every candidate pair is compared or joined by links,
-and a group of n near copies costs about n comparisons.
+Tiles. Nodes are dealt into classes of set size, a factor of 1.25 each, and by hash into tiles of bounded size. As a
+similarity of 0.8 needs sizes within that factor, a tile meets those of its own and of the adjacent classes only. In a
+task, blocks of rows and columns whose sizes or population counts are too far apart are skipped; the others are compared
+by exclusive-or and bit counts in numpy. A task returns a forest of its hits, close ones first, never all pairs: a
+group of n near copies costs about n pairs a tile pair.
+
+Verification. The pairs of the forests are checked by the exact Jaccard of both sets. Where one fails, pairs beside the
+forest may link its two sides: all hits between the verified components that failed pairs connect are then checked
+too, so no hit is left unsettled. Their number is that of hits between different groups of borderline similarity.
 
 Null and empty texts are copies of each other. A row is dropped or kept on its own: rows without a doc_id or with
-repeated doc_ids are copies like any others. An empty table gives an empty result.
+repeated doc_ids are copies like any others. An empty table gives an empty result. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -24,21 +29,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm.common import connected_components, materialize
+from tessera.llm.simhash import spread
 
 SHINGLE = 5
 #: Least similarity as a fraction.
 OVER, UNDER = 4, 5
-BANDS, WIDTH = 40, 5
-#: Longs of one bit of each min-hash, and most bits of a candidate that differ.
-LONGS, DIFFER = 3, 52
-#: Most turns of one member against its bucket, and pairs left for each member at which the turns end early.
-TURNS, FEW = 6, 8
-_DRAW = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * WIDTH, 1), dtype=np.uint64)
-_BITS = [f"bits{k}" for k in range(LONGS)]
-_TIMES, _PLUS = _DRAW[0] | np.uint64(1), _DRAW[1]
+LANES = 4
+#: Most bits that differ: of all lanes, of the first one, and of pairs that are nearly sure.
+RADIUS, FIRST, SURE = 80, 24, 36
+#: Bounds of a tile's rows, 56 bytes each.
+LEAST_ROWS, MOST_ROWS = 16_384, 131_072
+#: Most nodes (8 bytes each) that are broadcast.
+MOST_BROADCAST = 2_000_000
+_U = np.uint64
+_SALT = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(LANES)], dtype=np.uint64)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -52,39 +59,148 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, ends[min(SHINGLE, len(words)) - 1 :])], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The bucket of each band, signed, then the longs of bits."""
-    low = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+def lanes(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: LANES numbers of 64 bits, zero without shingles."""
+    counts = np.zeros(64 * LANES, dtype=np.int64)
     for at in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[at : at + 2048] * _TIMES + _PLUS).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(low.reshape(BANDS, WIDTH))]
-    bits = np.packbits((low[: 64 * LONGS] >> np.uint64(32) & np.uint64(1)).astype(bool)).view(np.uint64)
-    return np.r_[np.array(keys, dtype=np.uint64), bits].view(np.int64).tolist()
+        x = hashes[at : at + 2048, None] ^ _SALT
+        x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> _U(29))) * _U(0xC4CEB9FE1A85EC53)
+        part = (x ^ (x >> _U(32))).astype("<u8").view(np.uint8).reshape(len(x), -1)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a number, their node, the size of its set and its buckets."""
+    """The rows of docs with a number, their node, the size of its set and its fingerprint."""
     docs = docs.withColumn("near_row", F.monotonically_increasing_id())
     place = docs.columns.index("text")
-    more = [StructField("near_node", LongType()), StructField("near_size", IntegerType()), StructField("near_keys", ArrayType(LongType()))]
+    more = [StructField("near_node", LongType()), StructField("near_size", IntegerType()), StructField("near_lanes", BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, keys = [], [], []
+            node, size, own = [], [], []
             for x in batch.column(place).cast(pa.binary()):
                 h = shingles(x.as_py())
                 node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
-                keys.append(bands(h))
-            node = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
-            got = [node, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                own.append(lanes(h).tobytes())
+            got = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, *(f.name for f in more)])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
+def forest(lab: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, numbers of the pairs picked): a forest of the pairs (i, j), those of least d first, beside the links
+    that labels stand for already."""
+    picked, at = [], np.arange(len(i))
+    while True:
+        a, b = lab[i[at]], lab[j[at]]
+        apart = a != b
+        at, a, b = at[apart], a[apart], b[apart]
+        if not len(at):
+            return lab, np.concatenate(picked) if picked else at
+        order = np.argsort(d[at], kind="stable")
+        ends = np.concatenate([a[order], b[order]])
+        rank = np.concatenate([np.arange(len(order))] * 2)
+        by = np.lexsort((rank, ends))
+        first = np.r_[True, ends[by][1:] != ends[by][:-1]]
+        best = at[order[np.unique(rank[by[first]])]]
+        picked.append(best)
+        lab = spread(lab, i[best], j[best])
+
+
+class Tile:
+    """Nodes in the order of their set sizes."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, own: list[bytes], root: np.ndarray):
+        order = np.argsort(size, kind="stable")
+        self.node, self.size, self.root = node[order], size[order].astype(np.int64), root[order]
+        self.lanes = np.frombuffer(b"".join(own), dtype="<u8").reshape(-1, LANES)[order]
+        self.bits = np.bitwise_count(self.lanes).sum(axis=1, dtype=np.int64)
+
+
+def hits(a: Tile, b: Tile | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the pairs within the first lane's radius, block by block."""
+    other, high, wide = a if b is None else b, 256, 4096
+    for s in range(0, len(a.node), high):
+        rows = slice(s, min(s + high, len(a.node)))
+        low = np.searchsorted(other.size, -(-a.size[rows][0] * OVER // UNDER))
+        top = np.searchsorted(other.size, a.size[rows][-1] * UNDER // OVER, side="right")
+        x, near = a.lanes[rows, 0], a.bits[rows]
+        for t in range(max(low, s) if b is None else low, top, wide):
+            cols = slice(t, min(t + wide, top))
+            bits = other.bits[cols]
+            if bits.min() > near.max() + RADIUS or near.min() > bits.max() + RADIUS:
+                continue
+            r, c = np.nonzero(np.bitwise_count(x[:, None] ^ other.lanes[cols, 0][None]) <= FIRST)
+            r, c = r + s, c + t
+            if b is None:
+                r, c = r[c > r], c[c > r]
+            if len(r):
+                yield r, c
+
+
+def _compare(a: Tile, b: Tile | None, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, node, differing bits) of forests of the hits, or of every hit between different roots."""
+    other, shift = (a, 0) if b is None else (b, len(a.node))
+    total = len(a.node) + (0 if b is None else len(b.node))
+    sure, any_ = np.arange(total), np.arange(total)
+    out: list[tuple] = []
+    for r, c in hits(a, b):
+        apart = a.root[r] != other.root[c] if every else sure[r] != sure[c + shift]
+        r, c = r[apart], c[apart]
+        d = np.bitwise_count(a.lanes[r] ^ other.lanes[c]).sum(axis=1, dtype=np.int64)
+        x, y = a.size[r], other.size[c]
+        ok = (d <= RADIUS) & (UNDER * np.minimum(x, y) >= OVER * np.maximum(x, y))
+        r, c, d = r[ok], c[ok], d[ok]
+        if not every:
+            close = np.flatnonzero(d <= SURE)
+            sure, p = forest(sure, r[close], c[close] + shift, d[close])
+            p = close[p]
+            any_ = spread(any_, r[p], c[p] + shift)
+            any_, q = forest(any_, r, c + shift, d)
+            p = np.union1d(p, q).astype(np.int64)
+            r, c, d = r[p], c[p], d[p]
+        if len(r):
+            out.append((a.node[r], other.node[c], d))
+    if not out:
+        none = np.array([], dtype=np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def candidates(nodes: DataFrame, every: bool = False) -> DataFrame:
+    """(a, b) pairs of nodes (node, size, lanes, root) to check: forests of the hits of each pair of tiles, or every hit
+    between different roots."""
+    nodes = nodes.where("size > 0").withColumn("c", F.floor(F.log("size") / F.log(F.lit(1.2501))).cast("int"))
+    held = {r["c"]: r["n"] for r in nodes.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row for each factor of 1.25
+    rows = min(MOST_ROWS, max(LEAST_ROWS, sum(held.values()) // 64))
+    split = F.array(*(F.lit(-(-held.get(c, 0) // rows)) for c in range(max(held, default=0) + 2)))
+    at = nodes.withColumn("k", F.pmod(F.xxhash64("node", F.lit("tile")), F.greatest(F.get(split, F.col("c")), F.lit(1)).cast("bigint")).cast("int"))
+    wide = F.lit(1 << 20).cast("bigint")
+    own = F.col("c") * wide + F.col("k")
+    others = F.explode(F.sequence(F.greatest(F.col("c") - 1, F.lit(0)), F.col("c") + 1))
+    at = at.select("node", "size", "lanes", "root", own.alias("t"), others.alias("q"))
+    at = at.withColumn("n", F.get(split, F.col("q"))).where("n > 0").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    other = F.col("q") * wide + F.col("s")
+    at = at.select("node", "size", "lanes", "root", "t", F.least("t", other).alias("ta"), F.greatest("t", other).alias("tb"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ta, tb, t = group["ta"][0].as_py(), group["tb"][0].as_py(), group["t"].to_numpy()
+        tiles = []
+        for x in {ta, tb}:
+            part = group.filter(pa.array(t == x))
+            tiles.append(Tile(part["node"].to_numpy(), part["size"].to_numpy(), part["lanes"].to_pylist(), part["root"].to_numpy()))
+        a, b, d = _compare(tiles[0], tiles[1] if len(tiles) > 1 else None, every)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return at.groupBy("ta", "tb").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set): the hashes of each of the nodes."""
+    """(node, set): the hashes of the shingles of each of the nodes (node, near_row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,54 +209,44 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = pa.array([shingles(x.as_py()).view(np.int64) for x in part.column(1).cast(pa.binary())], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), own], names=["node", "set"])
 
-    first = rows.groupBy(F.col("near_node").alias("node")).agg(F.min("near_row").alias("near_row")).join(nodes, "node", "left_semi")
-    return rows.select("near_row", "text").join(first, "near_row").select("node", "text").mapInArrow(run, "node bigint, set array<bigint>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have the least similarity or more; row by row, as sets can be long."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
-    return both.where(f"{UNDER} * n >= {OVER} * (m - n)").select("a", "b")
+    few = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
+    return rows.select("near_row", "text").join(few, "near_row").select("node", "text").mapInArrow(run, "node bigint, set array<bigint>")
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components, and near enough in size and bits."""
-    l, r = (t.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root", *_BITS))) for t, s in ((left, "l"), (right, "r")))  # noqa: E741
-    differ = " + ".join(f"bit_count({c}_l ^ {c}_r)" for c in _BITS)
-    both = l.join(r, "key").where(f"root_l <> root_r and {UNDER} * least(size_l, size_r) >= {OVER} * greatest(size_l, size_r) and {differ} <= {DIFFER}")
-    return both.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, ok): whether the sets of a and b have the least similarity; row by row, as sets can be long."""
+    x, y = (sets.select(F.col("node").alias(n), F.col("set").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    return both.select("a", "b", F.expr(f"{UNDER} * n >= {OVER} * (m - n)").alias("ok"))
 
 
-def _mixed(live: DataFrame) -> DataFrame:
-    """The buckets that have members of two components or more."""
-    return live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    first = materialize(nodes.select("node", "near_row").join(wanted, "node", "left_semi"), "first")
+    return materialize(_checked(pairs, materialize(_sets(rows, first), "sets")), name)
 
 
 def components(rows: DataFrame) -> DataFrame | None:
     """(node, root) of the nodes that have links; None if none has."""
-    bits = [F.get("near_keys", F.lit(BANDS + k)).alias(c) for k, c in enumerate(_BITS)]
-    live = rows.select(F.explode(F.slice("near_keys", 1, BANDS)).alias("key"), F.col("near_node").alias("node"), F.col("near_size").alias("size"), F.col("near_node").alias("root"), *bits)
-    live = materialize(live.join(_mixed(live), "key").distinct(), "buckets")
-    sets = edges = roots = None
-    for turn in range(TURNS + 1):
-        each = live.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        n, left = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not n:
-            break
-        if sets is None:
-            sets = materialize(_sets(rows, live.select("node").distinct()), "sets")
-        last = turn == TURNS or left <= FEW * n
-        hubs = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root", *_BITS)).alias("hub")).select("key", "hub.*")
-        pairs = _pairs(live, live.where("true")) if last else _pairs(live, hubs)
-        found = materialize(_similar(pairs, sets), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = materialize(connected_components(edges), "roots")
-        if last:
-            break
-        live = live.drop("root").join(hubs.select("key", F.col("node").alias("hub")), "key").where("node <> hub").drop("hub")
-        live = live.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), *_BITS)
-        live = materialize(live.join(_mixed(live), "key"), "buckets")
+    nodes = rows.groupBy(F.col("near_node").alias("node")).agg(F.first("near_size").alias("size"), F.first("near_lanes").alias("lanes"), F.min("near_row").alias("near_row"))
+    nodes = materialize(nodes, "nodes")
+    pairs = materialize(candidates(nodes.withColumn("root", F.col("node"))), "candidates")
+    if pairs.isEmpty():
+        return None
+    checked = _verified(rows, nodes, pairs, "checked")
+    edges = checked.where("ok").select("a", "b")
+    roots = materialize(connected_components(edges), "roots")
+    failed = checked.where("not ok")
+    if not failed.isEmpty():
+        of = lambda t, c: t.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        between = of(of(failed, "a"), "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+        live = connected_components(between).select(F.col("node").alias("root"))
+        all_roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = materialize(all_roots.join(live, "root", "left_semi").select("node", "size", "lanes", "root"), "live")
+        more = materialize(candidates(left, every=True).join(checked, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            again = _verified(rows, nodes, more, "again").where("ok").select("a", "b")
+            roots = materialize(connected_components(edges.unionByName(again)), "roots")
     return roots
 
 
@@ -150,5 +256,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     light = rows.select("doc_id", "near_row", F.col("near_node").alias("node"))
     roots = components(rows)
     light = light.withColumn("root", F.col("node")) if roots is None else light.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("x")).select("x.near_row")
-    return rows.join(first, "near_row", "left_semi").select(*docs.columns)
+    first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("x")).select("root", "x.near_row")
+    gone = materialize(light.join(first.withColumnRenamed("near_row", "first"), "root").where("near_row <> first").select("near_row"), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "near_row", "left_anti").select(*docs.columns)

@@ -88,7 +88,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
             hit = np.bitwise_count(x[at : at + step, None] ^ y[None, :]) <= radius
             if b is None or hit.any():
                 r, c = np.nonzero(hit)
-                lab = _link(lab, left[at + r], shift + right[c])
+                lab = spread(lab, left[at + r], shift + right[c])
     out = np.flatnonzero(lab != np.arange(len(lab)))
     return nodes[out], nodes[lab[out]]
 
@@ -103,7 +103,8 @@ def _subtiles(fps: np.ndarray, quarters: bool) -> tuple[np.ndarray, np.ndarray,
     return order, counts[order[first]], np.r_[first, len(fps)]
 
 
-def _link(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def spread(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels after links between i and j: the least of each component."""
     while True:
         a, b = lab[i], lab[j]
         differ = a != b
@@ -162,10 +163,3 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but the least doc_id of each component. Rows that share the least doc_id stay,
-    as do rows without one."""
-    out = near_duplicates(docs)
-    gone = out.where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")

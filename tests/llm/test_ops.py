@@ -70,8 +70,6 @@ def test_simhash(spark, docs):
                 root[max(a, b)] = min(a, b)
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{f:016x}", find(i)) for i, f in enumerate(fps)}
     assert simhash.simhash_components(empty(docs)).count() == 0
-    kept = simhash.dedup(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(fps))}
 
 
 def test_simhash_tiles():
@@ -90,9 +88,11 @@ def test_simhash_tiles():
     assert {x: from_forest.get(x, x) for x in a.tolist()} == {x: a[k].item() for x, k in zip(a.tolist(), lab)}
 
 
-@pytest.mark.parametrize("few", [near.FEW, 0])
-def test_near(spark, docs, few, monkeypatch):
-    monkeypatch.setattr(near, "FEW", few)
+@pytest.mark.parametrize("tiles", [None, 16])
+def test_near(spark, docs, tiles, monkeypatch):
+    if tiles:
+        monkeypatch.setattr(near, "LEAST_ROWS", tiles)
+        monkeypatch.setattr(near, "MOST_ROWS", tiles)
     base, rng = [f"v{k}" for k in range(200)], random.Random(3)
     spread = [" ".join(base[:i] + ["new"] + base[i + 1 :] if k % 2 else base[i % 9 : 200 - i % 7] + [f"end{i}"]) for k, i in enumerate(range(5, 195, 5))]
     chain = [" ".join(f"c{k}" for k in range(6 * i, 6 * i + 100)) for i in range(12)]
@@ -114,6 +114,23 @@ def test_near(spark, docs, few, monkeypatch):
     assert near.dedup(docs).columns == docs.columns and near.dedup(empty(docs)).count() == 0
 
 
+def test_near_forest_settles_failed_pairs(spark, monkeypatch):
+    """Pairs beside the forest are found where a pair of the forest fails: no close pairs, whatever comes first."""
+    monkeypatch.setattr(near, "SURE", -1)
+    rng = random.Random(11)
+    base = [f"v{k}" for k in range(300)]
+    texts = [" ".join(w if rng.random() > rng.choice([0.01, 0.02, 0.03, 0.05]) else f"z{rng.random()}" for w in base) for _ in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = [r["doc_id"] for r in near.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()]
+    assert 1 < len(set(root)) < 60 and sorted(kept) == sorted(set(root))
+
+
 def test_near_without_ids(spark):
     t = words(60)
     rows = [(None, t, "a"), (None, t + " end", "b"), (None, words(60), "c"), (7, t, "d"), (7, t, "e"), (8, "x y", "f")]
