@@ -1,16 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are labelled documents that are not held out, at most `EXAMPLES` of them in the order of a hash of their id (a
-documented bound; near copies, which share a minimum shingle hash, count once). Terms are words without outer
-punctuation and their prefixes of four to six letters; those whose document frequency differs between the two labels
-(chi-square of at least three times the logarithm of the number of terms tested) span the vectors. Postings are kept in blocks of examples with the largest weight
-of each term in each block: blocks are scored exactly in the order of their upper bounds until no other block can hold
-one of the `NEIGHBOURS` nearest. Their labels vote with weights that fall with distance; a logistic curve fitted on
-the leave-one-out votes of the examples turns votes into scores. The nearest examples are returned as evidence.
+documented bound; equal word sequences count once). Terms of a text are its words without outer punctuation, their
+prefixes of four to six letters, and, for each of these that occurs twice or more, marks of how dense it is: at least
+one in 256, 128, 64 or 32 words. The vectors hold the terms whose document frequency differs between the two labels
+(chi-square of at least three times the logarithm of the number of terms tested, all of them: there is no cap). With all
+other words in, the cosine finds texts of like language and topic, not of like label: measured in README.
+
+Postings are kept in blocks of examples with the largest weight of each term in each block: blocks are scored exactly in
+the order of their upper bounds until no other block can hold one of the `NEIGHBOURS` nearest. Their labels vote with
+weights that fall with distance; a logistic curve fitted on the leave-one-out votes of the examples turns votes into
+scores. The nearest examples are returned as evidence; ties go to the example that comes first in the index.
 
 The index is of bounded size and is broadcast; every document is scored in place, without a shuffle, from its text
 alone. Null and empty texts have no terms and get the score of examples without terms. Without examples every score is
-0. Null labels and labels without a document are skipped; repeated rows are scored alike; extra columns are ignored.
+0. Null labels and labels without a document are skipped; rows that share a doc_id are each an example with its label;
+repeated rows are scored alike, rows without a doc_id are not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXAMPLES = 8000
-TERMS = 4000
+RATES = (32, 64, 128, 256)  # a term is dense if it is one in so many words
 NEIGHBOURS = 15
 BLOCK = 32
 THRESHOLD = 0.7
@@ -45,10 +50,18 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _min_shingle(words: list[str]) -> int:
-    if not words:
-        return 0
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) >> 1
+def text_terms(words: list[str]) -> Counter:
+    """How often each term occurs in a text of lower-case words; density marks once."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        for t in terms(w):
+            out[t] += n
+    for t, n in list(out.items()):
+        if n > 1:
+            for r in RATES:
+                if n * r >= len(words):
+                    out[f"{t}@{r}"] = 1
+    return out
 
 
 @dataclass
@@ -66,18 +79,35 @@ class Index:
     bare: float = 0.0  # the vote of texts without terms
     curve: tuple[float, float] = (1.0, 0.0)
     words: dict = field(default_factory=dict)
+    bases: dict = field(default_factory=dict)  # of a term without its mark: its number or -1, and (rate, number) of its marks
+
+    def __post_init__(self):
+        for t, i in self.term_of.items():
+            base, _, rate = t.rpartition("@")
+            if base and rate.isdigit() and int(rate) in RATES:
+                self.bases.setdefault(base, [-1]).append((int(rate), i))
+            else:
+                self.bases.setdefault(t, [-1])[0] = i
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text, of unit length."""
-        known = self.words
-        counts: Counter = Counter()
-        for w in text.lower().split():
+        known, seen = self.words, Counter()
+        words = text.lower().split()
+        for w in words:
             if (ts := known.get(w)) is None:
                 if len(known) > _CACHE:
                     known.clear()
-                ts = known[w] = tuple(k for t in terms(w) if (k := self.term_of.get(t)) is not None)
+                ts = known[w] = tuple(t for t in terms(w) if t in self.bases)
             if ts:
-                counts.update(ts)
+                seen.update(ts)
+        counts: dict[int, int] = {}
+        for t, n in seen.items():
+            own, *marks = self.bases[t]
+            if own >= 0:
+                counts[own] = n
+            for rate, i in marks:
+                if n > 1 and n * rate >= len(words):
+                    counts[i] = 1
         if not counts:
             return np.array([], dtype=int), np.array([])
         t = np.array(sorted(counts))
@@ -186,14 +216,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, low = [], []
+            low, names, ns = [], [], []
             for x in batch.column(1):
                 w = (x.as_py() or "").lower().split()
-                low.append(_min_shingle(w))
-                out.append(sorted({t for u in set(w) for t in terms(u)}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(low, pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["id", "y", "low", "terms"])
-
-    seen = own.mapInArrow(words, f"id {kind}, y int, low bigint, terms array<string>").groupBy("low").agg(F.min_by(F.struct("id", "y", "terms"), "id").alias("x")).select("x.*")
+                low.append(xxhash.xxh3_64_intdigest(" ".join(w)) >> 1)
+                held = sorted(text_terms(w).items())
+                names.append([t for t, _ in held])
+                ns.append([n for _, n in held])
+            columns = [batch.column(0), batch.column(2), pa.array(low, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(ns, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "low", "terms", "ns"])
+
+    seen = own.mapInArrow(words, f"id {kind}, y int, low bigint, terms array<string>, ns array<int>")
+    for key, order in (("id", "low"), ("low", "id")):  # one text of each doc_id, then one doc_id of each text
+        seen = seen.groupBy(key).agg(F.min_by(F.struct(*(c for c in seen.columns if c != key)), order).alias("x")).select(key, "x.*")
     seen = seen.persist()
     n = seen.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     p, n = float(n["p"] or 0), float(n["n"])
@@ -204,18 +239,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
         by = by.withColumn("c", c)
         tested = by.count()
         by = by.where((F.col("c") >= 3 * math.log(max(tested, 2))) & (F.abs(F.col("a") / p - (F.col("d") - F.col("a")) / (n - p)) >= 0.5 * F.col("d") / n))
-        vocabulary = [r["t"] for r in by.orderBy(F.desc("c"), "t").limit(TERMS).collect()]  # at most TERMS
+        vocabulary = sorted(r["t"] for r in by.select("t").collect())  # terms of at most `examples` texts
     ids = {r["id"]: r["y"] for r in seen.select("id", "y").collect()}  # at most `examples`
-    seen.unpersist()
     wanted = {t: i for i, t in enumerate(vocabulary)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(t for u in (x.as_py() or "").lower().split() for t in terms(u) if t in wanted) for x in batch.column(1)]
-            ks, ns = [[wanted[t] for t in sorted(c)] for c in found], [[c[t] for t in sorted(c)] for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ks, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["id", "k", "n"])
+            found = [{wanted[t]: n for t, n in zip(*x) if t in wanted} for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ks, ns = (pa.array([list(f(c)) for c in found], pa.list_(pa.int32())) for f in (dict.keys, dict.values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ks, ns], names=["id", "k", "n"])
 
-    got = {r["id"]: Counter({vocabulary[k]: m for k, m in zip(r["k"], r["n"])}) for r in own.mapInArrow(count, f"id {kind}, k array<int>, n array<int>").collect()}
+    got = {r["id"]: Counter({vocabulary[k]: m for k, m in zip(r["k"], r["n"])}) for r in seen.select("id", "terms", "ns").mapInArrow(count, f"id {kind}, k array<int>, n array<int>").collect()}
+    seen.unpersist()
     keys = sorted(ids)
     return build(keys, [got.get(i, Counter()) for i in keys], [ids[i] for i in keys], vocabulary)
 
