@@ -2,9 +2,9 @@
 
 A text is cut where no piece of the vocabulary can span (before a space, around a line feed). Each distinct cut is
 encoded once per worker by an agenda of adjacent symbol pairs: the best-scored pair, leftmost among equals, is merged
-until no pair is a piece; symbols that are no piece become bytes. Every Arrow batch encodes and decodes its new cuts
-with the sentencepiece library too and stops the job on any difference. The cache of cuts is bounded and is emptied
-when full, so memory does not grow with the corpus.
+until no pair is a piece; symbols that are no piece become bytes. The decoded text is put together from the ids. All new
+cuts of an Arrow batch are encoded and decoded by the sentencepiece library too, and any difference stops the job. The
+cache of cuts is bounded (the half that came last goes when it is full), so memory does not grow with the corpus.
 
 Nulls count as empty texts: no ids. Very long words take n log n time. Extra columns are ignored; an empty table gives
 an empty result; repeated rows are repeated in the result.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 META = "▁"
 #: Most cuts that a worker keeps, about 250 bytes each; when full, the half that came last goes.
 CACHE_CUTS = 500_000
-#: Most new cuts of a batch that are compared with the library while a job runs (the tests compare whole texts).
-CHECKED_CUTS = 1000
+#: New cuts that are compared with the library at once.
+CHECKED_CUTS = 4096
 #: Cuts up to this many symbols keep their agenda in a list.
 FEW = 40
 NEVER = float("-inf")
@@ -71,7 +71,8 @@ class Pieces:
         self.marks = "".join(c for c in ".,!%*&$#|;:?" if not any(x.isalpha() for x in before.get(c, ())))
         self.known, self.bare = Cuts(self, META), Cuts(self, "")
         self.fresh: list[str] = []
-        self.odd: dict[str, str] = {}
+        #: The bytes that each id, written in decimals, stands for.
+        self.bytes_of = {str(i): s if isinstance(s, bytes) else s.encode() for i, s in enumerate(self.surface)}
 
     def encode_cut(self, cut: str) -> list[int]:
         """Ids of a stretch of escaped text (spaces as U+2581)."""
@@ -122,29 +123,13 @@ class Pieces:
                 heapq.heappush(agenda, (-s, h, i, more))
         return [s for s in sym if s is not None]
 
-    def decode_ids(self, ids: list[int]) -> str:
-        """The text of ids with every leading space kept."""
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            s = self.surface[i]
-            if isinstance(s, bytes):
-                held += s
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(s)
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out)
+    def decode_ids(self, ids: str) -> str:
+        """The text of ids (decimals joined by commas) with every leading space kept."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
     def _learn(self, cut: str) -> str:
-        ids = self.encode_cut(cut)
         self.fresh.append(cut)
-        if (back := self.decode_ids(ids)) != cut.replace(META, " "):
-            self.odd[cut] = back
-        return ",".join(map(str, ids))
+        return ",".join(map(str, self.encode_cut(cut)))
 
     def encode_decode(self, text: str) -> tuple[str, str]:
         """Ids joined by commas, and the decoded text."""
@@ -164,18 +149,16 @@ class Pieces:
                 ids.append(bare(words[0]))
                 ids += map(known, words[1:])
         joined = ",".join(ids)
-        if self.odd:
-            return joined, self.decode_ids([int(i) for i in joined.split(",")])[1:]
-        return joined, text.replace(META, " ")  # every cut decodes to itself; the space before the text is dropped
+        return joined, self.decode_ids(joined)[1:]  # the space before the text is dropped
 
     def check(self) -> None:
-        """Compare the new cuts with the library, then forget the cache if it is full."""
-        fresh, self.fresh = [c for c in self.fresh if c != "\n"][:CHECKED_CUTS], []
-        if fresh:
-            ids = self.library.encode("\n" + "\n".join(fresh).replace(META, " "), num_threads=1)
-            own = self._own(fresh)
-            if ids[1:] != own or self.library.decode(ids) != "\n" + "\n".join([self.odd.get(c, c.replace(META, " ")) for c in fresh]):
-                raise RuntimeError(f"not as the library encodes one of {fresh[:20]!r}")
+        """Compare the new cuts with the library, then shorten the cache if it is full."""
+        fresh, self.fresh = [c for c in self.fresh if c != "\n"], []
+        for at in range(0, len(fresh), CHECKED_CUTS):
+            some = fresh[at : at + CHECKED_CUTS]
+            ids = self.library.encode("\n" + "\n".join(some).replace(META, " "), num_threads=1)
+            if ids[1:] != self._own(some) or self.library.decode(ids) != self.decode_ids(",".join(map(str, ids)))[1:]:
+                raise RuntimeError(f"not as the library encodes one of {some[:20]!r}")
         for held in (self.known, self.bare):
             if len(held) > CACHE_CUTS:  # frequent cuts came early
                 first = list(islice(held.items(), CACHE_CUTS // 2))
