@@ -1,12 +1,13 @@
 """Sharding by fixed virtual slots: records are hashed into thousands of slots, the bytes of each slot are added up,
-and a versioned map says which shard holds which slot. Rebalancing edits the map; records never change their slot.
+and a stored, versioned map says which shard holds which slot. Rebalancing edits the map and stores the next version.
 
 The law that holds is `bytes`: the bytes of the shards are near equal. Slots are dealt by size, largest first, to the
 shard with the least bytes. Only the slot totals (at most `SLOTS` rows) come to the driver. A record's slot is a hash
-of its doc_id, so neither hot sources nor copies of a text meet in one slot.
+of its doc_id, so neither hot sources nor copies of a text meet in one slot. A slot that holds over `HOT` times the mean
+(rows without a doc_id, or one doc_id repeated) is dealt anew, its records by their number in the table, over all slots.
 
-A null text has the size of its 16 bytes of framing and crc32 0; a null doc_id is hashed like any value, and repeated
-rows get places of their own. Extra columns are ignored; an empty table gives an empty result.
+A null text has the size of its 16 bytes of framing and crc32 0; repeated rows get places of their own. Extra columns
+are ignored; an empty table gives an empty result and a map of empty slots.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import folder, materialize
+
 SLOTS = 8192
 FRAME = 16
+HOT = 8
 
 
 @dataclass(frozen=True)
@@ -82,13 +86,21 @@ def rebalance(old: SlotMap, sizes: dict[int, int], shards: int | None = None, sl
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each record."""
-    return docs.select(
+    """doc_id, size, text_crc32, number and virtual slot of each record; hot slots dealt anew."""
+    own = materialize(docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + FRAME).cast("bigint").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
+        F.monotonically_increasing_id().alias("number"),
         F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"),
-    )
+    ), "records")
+    totals = slot_sizes(own)
+    rows, size = sum(n for _, n in totals.values()), sum(b for b, _ in totals.values())
+    hot = [v for v, (b, n) in totals.items() if n > HOT and (n * slots > HOT * rows or b * slots > HOT * size)]  # at most slots / HOT * 2
+    if not hot:
+        return own
+    again = F.pmod(F.xxhash64("vslot", "number"), F.lit(slots)).cast("int")
+    return own.withColumn("vslot", F.when(F.array_contains(F.lit(hot), F.col("vslot")), again).otherwise(F.col("vslot")))
 
 
 def slot_sizes(recs: DataFrame) -> dict[int, tuple[int, int]]:
@@ -97,20 +109,33 @@ def slot_sizes(recs: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vslot"]: (r["b"], r["n"]) for r in rows}
 
 
-def assign(docs: DataFrame, shards: int = 40, slot_map: SlotMap | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null), vslot."""
+def stored_map(spark: SparkSession, path: str, sizes: dict[int, int], shards: int) -> SlotMap:
+    """The last version of the map at path; stored first where there is none, edited where its shards are others."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        build_map(sizes, shards).write(spark, path)
+    last = SlotMap.read(spark, path)
+    if last.shards != shards:
+        rebalance(last, sizes, shards).write(spark, path)
+        last = SlotMap.read(spark, path)
+    return last
+
+
+def assign(docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null), vslot and
+    map_version, by the map stored at path (default: a new one in the shared folder)."""
     spark = docs.sparkSession
     recs = records(docs)
     totals = slot_sizes(recs)
-    slot_map = slot_map or build_map({v: b for v, (b, _) in totals.items()}, shards)
+    slot_map = stored_map(spark, path or folder(spark, "slot-map"), {v: b for v, (b, _) in totals.items()}, shards)
     used, first = [0] * slot_map.shards, []
     for v, s in enumerate(slot_map.shard_of):
         first.append((v, s, used[s]))
         used[s] += totals.get(v, (0, 0))[1]
     places = F.broadcast(spark.createDataFrame(first, "vslot int, shard int, first bigint"))  # SLOTS rows
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "number")) - 1
     out = recs.withColumn("within", within).join(places, "vslot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + F.col("within")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+        (F.col("first") + F.col("within")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(slot_map.version).alias("map_version"),
     )
