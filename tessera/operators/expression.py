@@ -5,13 +5,13 @@ Sums come from the stored entries, and each mean or variance divides by the numb
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import normal_tail
+
 
 def qc_metrics(x: DataFrame, top: int = 2) -> DataFrame:
     """(row, total, n_vars, pct_top): totals, stored entries and the share of the `top` largest, per row."""
@@ -46,7 +46,7 @@ def log1p(x: DataFrame) -> DataFrame:
     return x.select("row", "var", F.log1p("value").alias("value"))
 
 
-def moments(x: DataFrame, n_rows: DataFrame | None = None, by: tuple[str, ...] = ("var",)) -> DataFrame:
+def moments(x: DataFrame, by: tuple[str, ...] = ("var",)) -> DataFrame:
     """by, nnz, s1, s2: what means and variances with implicit zeros need."""
     return x.groupBy(*by).agg(F.count("*").alias("nnz"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
 
@@ -95,7 +95,7 @@ def rank_ttest(x: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, part: list[str], value: str = "value") -> DataFrame:
-    """df with `mid`, the rank of value within part, ties at their mean, and `ties`, how many share it."""
+    """df with `mid`, the rank of value among the rows that df has (`markers` ranks matrices with their zeros) within part, ties at their mean, and `ties`, how many share it."""
     w, t = Window.partitionBy(*part).orderBy(value), Window.partitionBy(*part, value)
     return df.withColumn("ties", F.count("*").over(t)).withColumn("mid", F.rank().over(w) + (F.col("ties") - 1) / 2)
 
@@ -165,10 +165,6 @@ def is_counts(x: DataFrame) -> DataFrame:
     return x.agg((F.count_if((F.col("value") < 0) | (F.col("value") != F.floor("value"))) == 0).alias("is_counts"))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def dispersion_binned(x: DataFrame, n: int | Column, n_top: int, bins: int = 20) -> DataFrame:
     """(var, score, rank): log dispersion standardised within equal-width bins of log mean, the n_top largest.
 
@@ -275,13 +271,3 @@ def pseudobulk_test(x: DataFrame, samples: DataFrame, tested: str, reference: st
     kind = x.schema["var"].dataType.simpleString()
     out = genes.mapInPandas(test, f"var {kind}, base_mean double, log2_fold double, se double").withColumn("stat", F.col("log2_fold") / F.col("se"))
     return bh_adjust(out.withColumn("p", normal_tail(F.col("stat"))), "p", "var")
-
-
-def normal_tail(z: Column) -> Column:
-    """The two-sided normal p-value, by the rational approximation of Abramowitz and Stegun 7.1.26 (error under 2e-7)."""
-    v = F.abs(z) / F.lit(2.0**0.5)
-    t = 1 / (1 + 0.3275911 * v)
-    poly = F.lit(0.0)
-    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
-        poly = (poly + c) * t
-    return poly * F.exp(-v * v)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 AXIS_BINS = 2048
+#: Most bins along a side of a mask's raster.
+MOST_BINS = 4096
 BROADCAST_BINS = 1_000_000
 UNASSIGNED = "unassigned"
 
@@ -31,8 +33,9 @@ def mask_boundary(
     `threshold` of its maximum; the distance of a point is that of its bin to the nearest bin of the other kind,
     negative inside; compartments are core, margin (within `margin`) and stroma.
 
-    The raster has about 60 bins along the shorter side (or bins of `bin_size`), however many points there are; distances
-    are exact and found by columns, then by rows. Points without a place, and all if the mask has no or every bin, have
+    The raster has about 60 bins along the shorter side (or bins of `bin_size`) and at most `MOST_BINS` along the longer one,
+    which a far outlier would stretch, however many points there are; distances are exact and found by columns, then by
+    rows, a row in a task. Points without a place, and all if the mask has no or every bin, have
     nulls. An interior label that no point has is an error."""
     known = {r[0] for r in points.where(F.col("label").isin(interior)).select("label").distinct().collect()}
     if missing := [v for v in interior if v not in known]:
@@ -42,6 +45,7 @@ def mask_boundary(
     if x0 is None:
         return points.select("id", F.lit(None).cast("double").alias("signed_distance"), F.lit(None).cast("string").alias("compartment"))
     size = bin_size or min(x1 - x0, y1 - y0) / 60 or max(x1 - x0, y1 - y0) / 60 or 1.0
+    size = max(size, max(x1 - x0, y1 - y0) / (MOST_BINS - 1))
     bandwidth = 3 * size if bandwidth is None else bandwidth
     margin = bandwidth if margin is None else margin
     nx, ny = math.floor((x1 - x0) / size) + 1, math.floor((y1 - y0) / size) + 1
@@ -65,11 +69,22 @@ def mask_boundary(
         return F.least(F.col("by") - F.last(own, True).over(before), F.first(own, True).over(after) - F.col("by"))
 
     far = grid.select("bx", "by", "m", down(F.col("m")).alias("to_in"), down(~F.col("m")).alias("to_out"))
-    row = far.select(F.col("bx").alias("ox"), "by", "to_in", "to_out")
-    g = F.when(F.col("m"), F.col("to_out")).otherwise(F.col("to_in"))
-    pairs = far.select("bx", "by", "m").join(row, "by").select("bx", "by", "m", ((F.col("bx") - F.col("ox")) ** 2 + g**2).alias("d"))
-    edt = pairs.groupBy("bx", "by", "m").agg(F.min("d").alias("d"))
-    edt = edt.select("bx", "by", (F.when(F.col("m"), -1.0).otherwise(1.0) * F.sqrt("d") * size).alias("signed_distance"))
+
+    def across(row: pd.DataFrame) -> pd.DataFrame:
+        """The least distance over the columns of one row, at most MOST_BINS bins long."""
+        bx, m = row["bx"].to_numpy(), row["m"].to_numpy()
+        out = np.full(len(row), np.nan)
+        for kind, side in ((True, "to_out"), (False, "to_in")):
+            g, own = row[side].to_numpy(dtype=float), np.flatnonzero(m == kind)
+            has = np.flatnonzero(np.isfinite(g))
+            for at in range(0, len(own), 256) if len(has) else ():
+                some = own[at : at + 256]
+                d = np.sqrt(((bx[some, None] - bx[None, has]) ** 2 + g[None, has] ** 2).min(axis=1))
+                out[some] = np.where(kind, -d, d) * size
+        return pd.DataFrame({"bx": bx, "by": row["by"], "signed_distance": out})
+
+    edt = far.groupBy("by").applyInPandas(across, "bx int, by int, signed_distance double")
+    edt = edt.withColumn("signed_distance", F.nanvl("signed_distance", F.lit(None).cast("double")))
     out = binned.select("id", "bx", "by").join(F.broadcast(edt) if nx * ny <= BROADCAST_BINS else edt, ["bx", "by"], "left")
     d = F.col("signed_distance")
     return out.select("id", "signed_distance", F.when(F.abs(d) <= margin, "margin").when(d < 0, "core").when(d > 0, "stroma").alias("compartment"))

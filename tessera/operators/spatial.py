@@ -1,7 +1,8 @@
 """Spatial graphs and statistics over points (id, x, y, label, lib).
 
 Neighbour searches are equi-joins on grid cells: a point meets only the points of nearby cells, so the work follows the
-number of neighbours and not the square of the table. Ties of distance are broken by id.
+number of neighbours and not the square of the table. Ties of distance are broken by id. Small tables (`SMALL` targets)
+are joined by lib alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import materialize
+
 
 def _around(df: DataFrame, size: float, ring: int) -> DataFrame:
     """df once for each cell within `ring` cells of its own."""
@@ -34,74 +37,116 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return out.where(F.col("d") <= radius).select("i", "j", "d", "li", "lj", "lib")
 
 
-def knn(points: DataFrame, k: int, include_self: bool = False, targets: DataFrame | None = None, per_cell: float = 4.0) -> DataFrame:
+#: Pairs of points and targets up to which the points that are left meet all targets.
+FEW_PAIRS = 50_000_000
+#: Targets up to which points meet all targets of their lib at once, without a grid.
+SMALL = 5000
+
+
+def _ranked(left: DataFrame, right: DataFrame, on: list[str], k: int, include_self: bool) -> DataFrame:
+    """(i, j, d, rk, li, lj, lib) of the k nearest of the targets that meet each point."""
+    d = F.sqrt((F.col("p.x") - F.col("q.x")) ** 2 + (F.col("p.y") - F.col("q.y")) ** 2)
+    near = left.join(right, on)
+    if not include_self:
+        near = near.where("p.id <> q.id")
+    near = near.select(F.col("p.id").alias("i"), F.col("q.id").alias("j"), d.alias("d"), F.col("p.label").alias("li"), F.col("q.label").alias("lj"), "lib")
+    near = near.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rk") <= k)
+    return near.select("i", "j", "d", F.col("rk").cast("bigint").alias("rk"), "li", "lj", "lib")
+
+
+def _cell_size(targets: DataFrame, n: int, libs: int, box: list, wanted: float) -> float:
+    """A cell size at which a target shares its cell with about `wanted` others, whatever lies far outside: from the box of
+    all but the outer 4 %, then halved while cells are too full."""
+    size = max(((box[1] - box[0]) * (box[3] - box[2]) * wanted * libs / n) ** 0.5, 1e-300)
+    for _ in range(12):
+        held = _cells(targets, size).groupBy("lib", "cx", "cy").agg(F.count("*").alias("c"))
+        full = held.agg(F.sum(F.col("c").cast("double") ** 2) / F.sum("c")).first()[0]
+        if full <= 8 * wanted:
+            break
+        size *= max(0.125, min(0.5, (2 * wanted / full) ** 0.5))
+    return size
+
+
+def knn(points: DataFrame, k: int, include_self: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """(i, j, d, rk, li, lj, lib): the k nearest targets (default: the points) of each point in its lib, exactly.
 
-    Each round searches rings of cells; a point is settled once its k-th distance is not beyond what the ring covers.
-    The rest takes a wider ring, and the last ring covers the table."""
+    Each round, points meet the targets of the nine cells around their own; a point is settled once its k-th distance is
+    within a cell's size, which nothing beyond the nine cells can be. The others go on to cells four times as large, and
+    meet all targets at last when they are few: a far outlier never makes others meet a whole cluster, and no point is
+    copied more than nine times."""
     targets = points if targets is None else targets
-    both = points.select("x", "y").unionByName(targets.select("x", "y"))
-    box = both.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    box = box if box[0] is not None else (0.0, 1.0, 0.0, 1.0)
-    size_of = targets.agg(F.count("*"), F.count_distinct("lib")).first()
-    span = max(box[1] - box[0], box[3] - box[2], 1e-9)
-    size = span * min(1.0, (per_cell * max(size_of[1], 1) / max(size_of[0], 1)) ** 0.5)
-    far = int(np.ceil(span / size)) + 1
-    found, rest, ring = [], points, 1
-    right = _cells(targets, size).select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("label").alias("lj"), "lib", "cx", "cy")
+    s = targets.agg(
+        F.count("*").alias("n"), F.count_distinct("lib").alias("libs"), F.percentile_approx("x", F.array(F.lit(0.02), F.lit(0.98))).alias("x"), F.percentile_approx("y", F.array(F.lit(0.02), F.lit(0.98))).alias("y"),
+        *(e.alias(f"{c}{m}") for c in "xy" for m, e in (("lo", F.min(c)), ("hi", F.max(c)))),
+    ).first()
+    kind = F.struct("id", "x", "y", "label")
+    if s["n"] <= SMALL:
+        return _ranked(points.select("lib", kind.alias("p")), targets.select("lib", kind.alias("q")), ["lib"], k, include_self)
+    own = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if own[0] is None:
+        return _ranked(points.select("lib", kind.alias("p")), targets.select("lib", kind.alias("q")), ["lib"], k, include_self)
+    span = max(max(own[1], s["xhi"]) - min(own[0], s["xlo"]), max(own[3], s["yhi"]) - min(own[2], s["ylo"]), 1e-300)
+    size = min(_cell_size(targets, s["n"], max(s["libs"], 1), [*s["x"], *s["y"]], 0.6 * k + 2), span)
+    found, rest = [], points
     while True:
-        left = _around(rest, size, min(ring, far)).select(F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("label").alias("li"), "lib", "cx", "cy")
-        near = left.join(right, ["lib", "cx", "cy"])
-        if not include_self:
-            near = near.where("i <> j")
-        near = near.withColumn("d", F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))
-        near = near.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rk") <= k)
-        near = near.select("i", "j", "d", F.col("rk").cast("bigint").alias("rk"), "li", "lj", "lib")
-        if ring >= far:
-            found.append(near)
-            break
+        left = _around(rest, size, 1).select("lib", "cx", "cy", kind.alias("p"))
+        right = _cells(targets, size).select("lib", "cx", "cy", kind.alias("q"))
+        near = _ranked(left, right, ["lib", "cx", "cy"], k, include_self)
+        if size >= span:
+            return reduce(DataFrame.unionByName, [*found, near])
         whole = Window.partitionBy("i")
         near = near.withColumn("n", F.count("*").over(whole)).withColumn("m", F.max("d").over(whole))
-        done = near.where((F.col("n") == k) & (F.col("m") <= ring * size)).drop("n", "m").persist()
+        done = materialize(near.where((F.col("n") == k) & (F.col("m") <= size)).drop("n", "m"), "knn")
         found.append(done)
-        rest = rest.join(done.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
-        if rest.isEmpty():
-            break
-        ring *= 4
-    return reduce(DataFrame.unionByName, found)
+        rest = materialize(rest.join(done.where("rk = 1").select(F.col("i").alias("id")), "id", "left_anti"), "unsettled")
+        left_over = rest.count()
+        if not left_over:
+            return reduce(DataFrame.unionByName, found)
+        size = size * 4 if left_over * s["n"] > FEW_PAIRS else span
 
 
-def knn_vectors(df: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(i, j, d, rk): exact nearest neighbours of vectors (id, v: array<double>), by tiles of `block` rows in numpy.
+def knn_vectors(df: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """(i, j, d, rk): exact nearest neighbours of vectors (id, v: array<double>), by pairs of tiles of `block` rows.
 
-    Each pair of tiles keeps k candidates per row, so what is shuffled is k rows per row and tile."""
+    A pair of tiles is compared once, by a matrix product, for the rows of both; each row keeps a few more than k
+    candidates by it, whose distances are then worked out from the differences. What a task returns is one row with arrays
+    of k candidates for each vector; a vector is sent to as many tasks as there are tiles."""
     n = df.count()
     tiles = max(1, -(-n // block))
-    t = df.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    both = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o"))
-    left = both.select("id", "v", F.col("t").alias("a"), F.col("o").alias("b"), F.lit(True).alias("query"))
-    right = both.select("id", "v", F.col("o").alias("a"), F.col("t").alias("b"), F.lit(False).alias("query"))
+    t = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("t"))
+    rows = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o"))
+    rows = rows.select("id", "v", "t", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    kind = df.schema["id"].dataType.simpleString()
+    extra = k + 8
+
+    def nearest(ids: np.ndarray, x: np.ndarray, to: np.ndarray, y: np.ndarray) -> tuple[list, list]:
+        js, ds = [], []
+        yy = (y * y).sum(axis=1)
+        step = max(1, 4_000_000 // max(1, len(y)))
+        for s in range(0, len(x), step):
+            part = x[s : s + step]
+            d2 = (part * part).sum(axis=1)[:, None] + yy[None] - 2 * part @ y.T
+            d2[ids[s : s + step, None] == to[None]] = np.inf
+            best = np.argpartition(d2, extra - 1, axis=1)[:, :extra] if len(y) > extra else np.tile(np.arange(len(y)), (len(part), 1))
+            d = np.sqrt(((part[:, None] - y[best]) ** 2).sum(axis=2))
+            d[np.isinf(np.take_along_axis(d2, best, axis=1))] = np.inf
+            order = np.lexsort((to[best], d))[:, :k]
+            j, d = np.take_along_axis(to[best], order, axis=1), np.take_along_axis(d, order, axis=1)
+            js += [a[np.isfinite(b)] for a, b in zip(j, d)]
+            ds += [b[np.isfinite(b)] for b in d]
+        return js, ds
 
     def near(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        q, r = g[g["query"]], g[~g["query"]]
-        if not len(q) or not len(r):
-            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
-        x, y = np.stack(q["v"].to_numpy()), np.stack(r["v"].to_numpy())
-        qi, ri = q["id"].to_numpy(), r["id"].to_numpy()
-        out = []
-        for s in range(0, len(x), 256):
-            d = np.zeros((min(256, len(x) - s), len(y)))
-            for c in range(x.shape[1]):
-                d += (x[s : s + 256, c, None] - y[None, :, c]) ** 2
-            d = np.sqrt(d)
-            d[qi[s : s + 256, None] == ri[None]] = np.inf
-            for row, i in zip(d, qi[s : s + 256]):
-                o = np.lexsort((ri, row))[:k]
-                o = o[np.isfinite(row[o])]
-                out.append(pd.DataFrame({"i": i, "j": ri[o], "d": row[o]}))
-        return pd.concat(out)
-
-    got = left.unionByName(right).groupBy("a", "b").applyInPandas(near, "i bigint, j bigint, d double")
+        own = [g[g["t"] == c] for c in dict.fromkeys(key)]
+        ids, xs = [p["id"].to_numpy() for p in own], [np.stack(p["v"].to_numpy()) if len(p) else np.zeros((0, 1)) for p in own]
+        if any(len(p) == 0 for p in own):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        sides = [(0, 0)] if len(own) == 1 else [(0, 1), (1, 0)]
+        out = [nearest(ids[p], xs[p], ids[q], xs[q]) for p, q in sides]
+        return pd.DataFrame({"i": np.concatenate([ids[p] for p, _ in sides]), "j": [v for js, _ in out for v in js], "d": [v for _, ds in out for v in ds]})
+
+    got = rows.groupBy("a", "b").applyInPandas(near, f"i {kind}, j array<{kind}>, d array<double>")
+    got = got.select("i", F.explode(F.arrays_zip("j", "d")).alias("e")).select("i", "e.j", "e.d")
     got = got.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")).cast("bigint"))
     return got.where(F.col("rk") <= k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
@@ -51,13 +53,17 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(chi2, dof) of independence of two columns; absent pairs count with their expectation."""
+    """(chi2, dof, p) of independence of two columns; absent pairs count with their expectation; with one degree of freedom
+    half is taken off each difference (Yates)."""
     n = df.groupBy(a, b).agg(F.count("*").alias("n"))
     ra, rb = n.groupBy(a).agg(F.sum("n").alias("na")), n.groupBy(b).agg(F.sum("n").alias("nb"))
     total = n.agg(F.sum("n").alias("nt"))
     grid = ra.crossJoin(rb).crossJoin(F.broadcast(total)).join(n, [a, b], "left").fillna(0, ["n"])  # labels x labels
     e = F.col("na") * F.col("nb") / F.col("nt")
-    return grid.agg(F.sum((F.col("n") - e) ** 2 / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    off = F.abs(F.col("n") - e)
+    out = grid.agg(F.sum(off**2 / e).alias("chi2"), F.sum((off - F.least(off, F.lit(0.5))) ** 2 / e).alias("yates"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    out = out.select(F.when(F.col("dof") == 1, F.col("yates")).otherwise(F.col("chi2")).alias("chi2"), "dof")
+    return out.withColumn("p", F.when(F.col("dof") > 0, scalars.chi_square_tail(F.col("chi2"), F.col("dof"))))
 
 
 def selection_stats(df: DataFrame, inside: Column, label: str, value: str) -> DataFrame:

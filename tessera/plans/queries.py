@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import expression as ex
-from tessera.operators import graph, regions, spatial, tables
+from tessera.operators import graph, leiden, regions, spatial, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -319,24 +319,30 @@ def discover_types(spark, sf):
     return tables.classify(_t(spark, sf, "pages"), "url", {"mobile": "https://m.*", "page": "*.html"}).select("page_id", "type")
 
 
-HISTORY = [(1, "completed", ["obs:leiden", "obsm:X_pca"]), (2, "failed", ["obs:leiden"]), (3, "completed", ["obs:leiden"])]
+HIST = "h AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, unnest([event_type, 'user:' || user_id]) AS field FROM events)"
 
 
-@query("SELECT * FROM (VALUES ('obs:leiden', 2::BIGINT), ('obsm:X_pca', 1::BIGINT)) t(field, version)")
+def _history(spark, sf):
+    fields = F.array("event_type", F.concat(F.lit("user:"), "user_id"))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), fields.alias("fields"))
+
+
+@query(f"WITH {HIST} SELECT field, count(*) AS version FROM h WHERE status = 'completed' GROUP BY 1")
 def field_versions(spark, sf):
-    return tables.field_versions(spark.createDataFrame(HISTORY, "seq int, status string, fields array<string>"))
+    return tables.field_versions(_history(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('p1')) t(plot)")
+@query("WITH r AS (SELECT p_partkey AS plot, unnest(string_split(p_name, ' ')) AS field FROM part) SELECT DISTINCT plot FROM r WHERE field IN (SELECT regexp_extract(p_name, '^([^ ]*)', 1) FROM part WHERE p_size > 48)")
 def invalidated_plots(spark, sf):
-    plots = spark.createDataFrame([("p1", ["obs:leiden", "obsm:spatial"]), ("p2", ["obsm:spatial"])], "plot string, refs array<string>")
-    return tables.invalidated(plots, spark.createDataFrame([("obs:leiden",)], "field string"))
+    part = _t(spark, sf, "part")
+    plots = part.select(F.col("p_partkey").alias("plot"), F.split("p_name", " ").alias("refs"))
+    return tables.invalidated(plots, part.where("p_size > 48").select(F.regexp_extract("p_name", "^([^ ]*)", 1).alias("field")))
 
 
-@query("SELECT * FROM (VALUES (2, 'obs:leiden')) t(step, key)")
+@query("SELECT l_linenumber AS step, l_suppkey AS key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 9000 AND s_nationkey % 7 >= l_linenumber UNION ALL SELECT l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000)")
 def preflight_unresolved(spark, sf):
-    needed = spark.createDataFrame([(1, "X"), (2, "obs:leiden"), (3, "obsm:X_pca")], "step int, key string")
-    made = spark.createDataFrame([(0, "X"), (2, "obs:leiden"), (2, "obsm:X_pca")], "step int, key string")
+    needed = _t(spark, sf, "lineitem").select(F.col("l_linenumber").alias("step"), F.col("l_suppkey").alias("key"))
+    made = _t(spark, sf, "supplier").where("s_acctbal > 9000").select((F.col("s_nationkey") % 7).alias("step"), F.col("s_suppkey").alias("key"))
     return tables.unresolved(needed, made)
 
 
@@ -432,9 +438,9 @@ def dotplot_data(spark, sf):
     return ex.dotplot(_counts(spark, sf), _obs(spark, sf).select("row", "grp")).withColumns({"mean": _r("mean"), "fraction": _r("fraction")})
 
 
-@query(TT + ", d AS (SELECT grp, v, s1 / n AS mean FROM g JOIN z USING (grp)) SELECT a.v AS ligand, b.v AS receptor, a.grp AS source, b.grp AS target, round((a.mean + b.mean) / 2, 6) AS score FROM d a JOIN d b ON b.v = a.v + 1 WHERE a.v <= 20")
+@query(TT + ", d AS (SELECT grp, v, s1 / n AS mean FROM g JOIN z USING (grp)) SELECT a.v AS ligand, b.v AS receptor, a.grp AS source, b.grp AS target, round((a.mean + b.mean) / 2, 6) AS score FROM d a JOIN d b ON b.v = a.v + 1")
 def ligrec_means(spark, sf):
-    pairs = _t(spark, sf, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"))
+    pairs = _t(spark, sf, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"))
     return ex.ligrec(_counts(spark, sf), _obs(spark, sf).select("row", "grp"), pairs).withColumn("score", _r("score"))
 
 
@@ -455,7 +461,7 @@ def raw_count_guard(spark, sf):
 
 @query()
 def leiden_clusters(spark, sf):
-    return graph.communities(_graph(spark, sf).select("i", "j"))
+    return leiden.communities(_graph(spark, sf).select("i", "j"))
 
 
 @query()
@@ -568,7 +574,10 @@ def cell_types_majority(spark, sf):
     return ex.majority_vote(_types(spark, sf).join(o, "row"), "cluster", "label").withColumn("share", _r("share"))
 
 
-@query()
+@query("WITH RECURSIVE " + P + """, b AS (SELECT min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM p),
+c AS (SELECT id, CAST(least(greatest(floor((x - a) / (c - a) * 65536), 0), 65535) AS BIGINT) AS x, CAST(least(greatest(floor((y - b) / (d - b) * 65536), 0), 65535) AS BIGINT) AS y, 0::BIGINT AS h, 32768::BIGINT AS s FROM p, b
+ UNION ALL SELECT id, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 65535 - y ELSE y END ELSE x END, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 65535 - x ELSE x END ELSE y END, h + s * s * xor(3 * rx, ry), s // 2
+ FROM (SELECT *, CASE WHEN x & s > 0 THEN 1 ELSE 0 END::BIGINT AS rx, CASE WHEN y & s > 0 THEN 1 ELSE 0 END::BIGINT AS ry FROM c WHERE s > 0)) SELECT id, h FROM c WHERE s = 0""")
 def hilbert_order(spark, sf):
     p = _points(spark, sf)
     box = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.queries import QUERIES, SQL
+from tessera.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
