@@ -1,70 +1,26 @@
-"""Shared folder, input tables and component labelling used by the text operators."""
+"""Input tables, batches and component labelling used by the text operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space between words, as a Java/RE2 regular expression.
-SPACE = r"[\x20\x09-\x0D]"
-_ROOTS: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a
-    temporary one; on a cluster that is an error, as each machine would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def _root(spark: SparkSession) -> str:
-    """The folder of this application in the shared one; it goes when the driver's process ends."""
-    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        atexit.register(_delete, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
-    return root
-
+from tessera.shared import discard, folder, materialize, shared_dir
 
-def _delete(files, path) -> None:
-    try:
-        files.delete(path, True)
-    except Exception:  # noqa: BLE001 - the JVM or the folder may be gone when the process ends
-        pass
+__all__ = ["bounded_batches", "connected_components", "discard", "folder", "materialize", "shared_dir", "table"]
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared one."""
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor
-    costs nothing, as the files are not on it. The table stays until `discard` or the end of the driver."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.tessera_path = path
-    return out
+#: ASCII white space between words, as a Java/RE2 regular expression.
+SPACE = r"[\x20\x09-\x0D]"
+#: Rows of an Arrow batch.
+ROWS = 1000
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table of `materialize` that no plan will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.tessera_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ROWS rows, unless the session asks for other ones: with whole texts, Spark's 10,000 rows
+    are hundreds of MB beside the heap and in each worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +56,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out.tessera_path = pairs.tessera_path
+    return out
 
 
 def _digest(pairs: DataFrame) -> tuple:
