@@ -4,7 +4,7 @@ The filter holds quantised counts of all word pairs of the training texts: a pai
 entered with each level 1 to q, and its count is found by probing levels until one is missing. The probability of a
 word is a mixture of the pair estimate and the add-one estimate of the word alone; a text's probability is the mean
 over the mixture weights `SHARES`, so it is at most a factor 1/len(SHARES) below the word model's. Lower-bound counts
-keep the pair estimates of a context at a sum of at most one, but for false positives (about 0.4 % of absent pairs).
+keep the pair estimates of a context at a sum of at most one, but for false positives (about 1 % of absent pairs).
 
 The corpus is cut once into chunks of about `CHUNK` bytes, written to the shared folder as token numbers and word
 hashes (56 bits). Word counts are exact up to hash collisions: each chunk sends its distinct words' hashes to hash
@@ -29,13 +29,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded_batches, discard, materialize
 
 CHUNK = 8 << 20
 MOST_FILTER = 64 << 20
 SLICE = 1 << 18  # tokens worked on at once
-BITS, PROBES = 12, 6
+BITS, PROBES = 12, 4  # of the filter for each entry, and set by each
 BASE = 1.5  # ratio of two levels' counts from level 2 (count 2) on; level 1 is count 1
 SHARES = (0.0, 0.1, 0.3, 0.6, 0.9)
 _U = np.uint64
@@ -68,36 +69,42 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+    """Ascending numbers of n bytes as differences, first the high bytes of all (which codecs make short), then the next."""
+    d = np.diff(x, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return d[:, :n][:, ::-1].T.tobytes()
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((len(data) // n, 8), dtype=np.uint8)
-    out[:, :n] = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
-    return out.view("<u8").ravel()
+    out[:, :n] = np.frombuffer(data, dtype=np.uint8).reshape(n, -1)[::-1].T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 class Filter:
-    """Bloom segments, one for each hash bucket of pairs, or some of them."""
+    """Bloom segments, one for each hash bucket of pairs, or some of them. The `PROBES` bits of an entry lie in one word
+    of 64 bits, so a probe is one look at the filter."""
 
-    def __init__(self, sizes: np.ndarray, offsets: np.ndarray, bits: np.ndarray):
-        self.sizes, self.offsets, self.bits = sizes, offsets, bits  # bits of each bucket (0: not here), first byte, bytes
+    def __init__(self, sizes: np.ndarray, offsets: np.ndarray, words: np.ndarray):
+        self.sizes, self.offsets, self.words = sizes, offsets, words  # words of each bucket (0: not here), first word, words
 
     @staticmethod
     def segment(keys: np.ndarray, levels: np.ndarray, size: int) -> np.ndarray:
-        """The bytes of a segment of `size` bits."""
-        own = np.zeros(-(-size // 8), dtype=np.uint8)
+        """The words of a segment of `size` words."""
+        own = np.zeros(size, dtype=np.uint64)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            for at in Filter._places(keys[levels >= q], q, _U(size)):
-                np.bitwise_or.at(own, (at >> _U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+            at, mask = Filter._places(keys[levels >= q], q, _U(size))
+            np.bitwise_or.at(own, at, mask)
         return own
 
     @staticmethod
-    def _places(keys: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
+    def _places(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each key at a level, and the bits it has there."""
         h = _mix(keys + _salt(level))
-        step = _mix(h) | _U(1)
-        for i in range(PROBES):
-            yield (h + _U(i) * step) % size
+        bits = _mix(h)
+        mask = _U(1) << (bits & _U(63))
+        for i in range(1, PROBES):
+            mask |= _U(1) << (bits >> _U(6 * i) & _U(63))
+        return (h % size).astype(np.int64), mask
 
     def levels(self, buckets: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The level of each pair, 0 if it isn't in the filter."""
@@ -105,17 +112,12 @@ class Filter:
             return np.concatenate([self.levels(buckets[at : at + SLICE], keys[at : at + SLICE]) for at in range(0, len(keys), SLICE)])
         out = np.zeros(len(keys), dtype=np.uint8)
         at = np.flatnonzero(self.sizes[buckets] > 0)
+        sizes, first, k = self.sizes[buckets[at]], self.offsets[buckets[at]], keys[at]
         level = 1
         while len(at):
-            sizes, first, k = self.sizes[buckets[at]], self.offsets[buckets[at]], keys[at]
-            h = _mix(k + _salt(level))
-            step = _mix(h) | _U(1)
-            for i in range(PROBES):
-                p = (h + _U(i) * step) % sizes
-                ok = (self.bits[first + (p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 > 0
-                at, h, step, sizes, first = at[ok], h[ok], step[ok], sizes[ok], first[ok]
-                if not len(at):
-                    break
+            place, mask = self._places(k, level, sizes)
+            ok = (self.words[first + place] & mask) == mask
+            at, sizes, first, k = at[ok], sizes[ok], first[ok], k[ok]
             out[at] = level
             level += 1
         return out
@@ -159,11 +161,11 @@ def chunks(docs: DataFrame) -> DataFrame:
         pairs = int(sizes[~out].sum() + (~out).sum())
         values = {
             "chunk": [name], "ids": [[r[0] for r in rows]], "held": [out.tobytes()], "sizes": [sizes.tobytes()], "tokens": [zlib.compress(flat.tobytes(), 1)],
-            "hashes": [_pack(hashes[order], 7)], "train": [zlib.compress(train.tobytes(), 1)], "n_words": [len(order)], "n_pairs": [pairs],
+            "hashes": [zlib.compress(_pack(hashes[order], 7), 1)], "train": [zlib.compress(train.tobytes(), 1)], "n_words": [len(order)], "n_pairs": [pairs],
         }
         return pa.RecordBatch.from_pydict(values, schema=schema)
 
-    ids = pa.field("ids", pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]))
+    ids = pa.field("ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType)))
     blob = [pa.field(n, pa.binary()) for n in ("held", "sizes", "tokens", "hashes", "train")]
     schema = pa.schema([pa.field("chunk", pa.string()), ids, *blob, pa.field("n_words", pa.int64()), pa.field("n_pairs", pa.int64())])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -182,7 +184,7 @@ def word_counts(parts: DataFrame, bits: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, h, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes, train = _unpack(h, 7), np.frombuffer(zlib.decompress(t), dtype=np.uint32)
+                hashes, train = _unpack(zlib.decompress(h), 7), np.frombuffer(zlib.decompress(t), dtype=np.uint32)
                 edge = np.searchsorted(hashes >> _U(56 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64), np.arange((1 << bits) + 1))
                 rows = [(b, s, e) for b, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if e > s]
                 yield pa.RecordBatch.from_pydict({
@@ -215,7 +217,7 @@ def _sequence(tokens: bytes, sizes: bytes, hashes: bytes) -> tuple[np.ndarray, n
     is_word[ends] = False
     word[is_word] = flat
     h = np.full(len(text), END)
-    h[is_word] = _unpack(hashes, 7)[flat]
+    h[is_word] = _unpack(zlib.decompress(hashes), 7)[flat]
     before = np.r_[START, h[:-1]] if len(h) else h
     before[np.r_[0, ends[:-1] + 1] if len(ends) else ends] = START
     return word, h, before, text
@@ -251,7 +253,7 @@ def pair_counts(parts: DataFrame, bits: int) -> DataFrame:
         keys, back = np.unique(np.concatenate([*one, *more]), return_inverse=True)
         n = np.concatenate([np.ones(sum(map(len, one)), dtype=np.int64), *(np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in group["n"].to_pylist())])
         total = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-        return pa.table({"bucket": group["bucket"][:1], "keys": pa.array([_pack(keys, 5)], pa.binary()), "levels": pa.array([level_of(total).astype(np.uint8).tobytes()], pa.binary()), "entries": pa.array([int(level_of(total).sum())], pa.int64())})
+        return pa.table({"bucket": group["bucket"][:1], "keys": pa.array([zlib.compress(_pack(keys, 5), 1)], pa.binary()), "levels": pa.array([zlib.compress(level_of(total).astype(np.uint8).tobytes(), 1)], pa.binary()), "entries": pa.array([int(level_of(total).sum())], pa.int64())})
 
     rows = parts.select("held", "sizes", "tokens", "hashes").mapInArrow(spread, "bucket int, one binary, more binary, n binary")
     return rows.groupBy("bucket").applyInArrow(add, "bucket int, keys binary, levels binary, entries bigint")
@@ -263,12 +265,12 @@ def filter_groups(pairs: DataFrame, bits: int, most: int) -> Iterator[Filter]:
     groups: list[list[tuple[int, int]]] = []
     size = most + 1
     for b, n in held:
-        m = max(64, n * BITS)
-        if size + m // 8 + 1 > most:
+        m = max(1, -(-n * BITS // 64))
+        if size + 8 * m > most:
             groups.append([])
             size = 0
         groups[-1].append((b, m))
-        size += m // 8 + 1
+        size += 8 * m
 
     for group in groups:
         sizes = dict(group)
@@ -276,19 +278,19 @@ def filter_groups(pairs: DataFrame, bits: int, most: int) -> Iterator[Filter]:
         def build(batches: Iterator[pa.RecordBatch], sizes: dict = sizes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b, k, q in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    own = Filter.segment(_unpack(k, 5) | (_U(b) << _U(40)), np.frombuffer(q, dtype=np.uint8), sizes[b])
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "bits": pa.array([own.tobytes()], pa.binary())})
+                    own = Filter.segment(_unpack(zlib.decompress(k), 5) | (_U(b) << _U(40)), np.frombuffer(zlib.decompress(q), dtype=np.uint8), sizes[b])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "words": pa.array([own.tobytes()], pa.binary())})
 
         first, last = group[0][0], group[-1][0]
         rows = pairs.where(F.col("bucket").between(first, last) & (F.col("entries") > 0)).select("bucket", "keys", "levels")
         size, offset = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int64)
-        data = np.zeros(sum(-(-m // 8) for _, m in group), dtype=np.uint8)
+        data = np.zeros(sum(m for _, m in group), dtype=np.uint64)
         at = 0
         for b, m in group:
             size[b], offset[b] = m, at
-            at += -(-m // 8)
-        for r in rows.mapInArrow(build, "bucket int, bits binary").toLocalIterator():
-            data[offset[r["bucket"]] : offset[r["bucket"]] + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+            at += m
+        for r in rows.mapInArrow(build, "bucket int, words binary").toLocalIterator():
+            data[offset[r["bucket"]] : offset[r["bucket"]] + len(r["words"]) // 8] = np.frombuffer(r["words"], dtype=np.uint64)
         yield Filter(size, offset, data)
 
 
@@ -330,19 +332,21 @@ def text_scores(word: np.ndarray, text: np.ndarray, texts: int, counts: np.ndarr
 def score(docs: DataFrame, most_filter: int = MOST_FILTER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (the model's log10 probability)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = materialize(chunks(docs), "chunks")
+    bounded_batches(docs.sparkSession)
+    parts = materialize(chunks(docs), "chunks", "none")
     sums = parts.agg(F.sum("n_words"), F.sum("n_pairs")).first()
     bits = min(16, _bits((sums[0] or 0) / 1_000_000))
-    counts = materialize(word_counts(parts, bits), "counts")
+    counts = materialize(word_counts(parts, bits), "counts", "none")
     total = counts.agg(F.sum("n"), F.sum("v")).first()
     ends = int((sums[1] or 0) - (total[0] or 0))  # one pair more than words in each training text
     tokens, words = int((total[0] or 0) + ends), int((total[1] or 0) + (ends > 0))
     pair_bits = min(20, _bits((sums[1] or 0) / 1_500_000))
-    pairs = materialize(pair_counts(parts, pair_bits), "pairs")
+    pairs = materialize(pair_counts(parts, pair_bits), "pairs", "none")
     found = None
     for own in filter_groups(pairs, pair_bits, most_filter):
-        levels = materialize(pair_levels(parts, own, pair_bits), "levels")
+        levels = materialize(pair_levels(parts, own, pair_bits), "levels", "none")
         found = levels if found is None else found.unionByName(levels)
+    discard(pairs)
     side = counts.select("chunk", "bucket", F.col("counts").alias("data"))
     if found is not None:
         side = side.unionByName(found.select("chunk", F.lit(-1).alias("bucket"), F.col("levels").alias("data")))
