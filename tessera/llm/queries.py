@@ -31,7 +31,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digests(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+    return warc.digests(warc.derive_pages(table(spark, sf_dir, "pages")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": quality.oracle()}
+    return {"op5_decontaminate": decontaminate.oracle(), "op7_quality": quality.oracle()}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, materialize
+from tessera.llm.common import bounded_batches, connected_components, materialize
 
 SEED = 42
 RADIUS = 3
@@ -149,6 +149,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(key, fp long, component: the least key that is reachable over links of `radius` or fewer differing bits)."""
+    bounded_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, text, key), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     roots = connected_components(links(nodes, radius)).select(F.col("node").alias("fp"), "root")

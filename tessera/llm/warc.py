@@ -2,7 +2,8 @@
 
 `responses` wraps pages as response records; `derive` reads response records and makes the two derivatives, keeping the
 identifier they refer to, the target, the date, the source's headers and its digests. `serialize` gives the bytes of
-records and `parse` reads them back. Identifiers are name-based (SHA-1 of target, payload and type), so a rerun after
+records and `parse` reads them back; `read` takes the records of .warc and .warc.gz files, `write` makes .warc.gz files
+of a member per record. Identifiers are name-based (SHA-1 of target, payload and type), so a rerun after
 lost executors gives the same records; equal pages have equal identifiers. Every page is handled alone: no shuffle.
 
 Plain text: comments and the contents of script, style, noscript and template go; tags that break lines become line
@@ -17,12 +18,17 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 DATE = "1970-01-01T00:00:00Z"
 KINDS = ("response", "metadata", "conversion")
 # Elements that break lines, and those whose contents are no text.
@@ -144,8 +150,65 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         at = end + 4 + n + 4
 
 
+def inflate(data: bytes) -> Iterator[bytes]:
+    """The members of gzip data, one at a time; data that is not gzip is one member."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield data
+        return
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out = member.decompress(data) + member.flush()
+        if not member.eof:
+            raise ValueError("the last gzip member is cut off")
+        yield out
+        data = member.unused_data.lstrip(b"\0")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 0), kind and bytes of every record of the WARC files at path, compressed or not. Spark reads the
+    files, from any store, each as one row: files up to 2 GB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                number = 0
+                for member in inflate(content.as_py()):
+                    for headers, block in parse(member):
+                        kind = dict(headers).get("WARC-Type", "")
+                        yield pa.RecordBatch.from_pydict({"file": [name], "number": pa.array([number], pa.int64()), "kind": [kind], "record": pa.array([serialize(headers, block)], pa.binary())})
+                        number += 1
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, number bigint, kind string, record binary")
+
+
+def write(records: DataFrame, path: str) -> int:
+    """Write the column `record` as part files of gzip members under path (a URI of a file system that pyarrow opens, shared by
+    all executors); the number of records written. A task that runs again replaces its own file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
+        held = f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
+        with system.open_output_stream(held, compression=None) as out:
+            for batch in batches:
+                for x in batch.column(0):
+                    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.write(member.compress(x.as_py()) + member.flush())
+                    n += 1
+        system.move(held, f"{root}/part-{part:05d}.warc.gz")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return records.select("record").where("record is not null").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id and the bytes of each page's response record."""
+    bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +242,28 @@ def derive(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, f"page_id {kind}, kind string, record binary")
 
 
+def derive_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """`derive` of the `responses` of pages, in one pass: each response is derived from as it is made."""
+    bounded_batches(pages.sparkSession)
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = []
+                for u, p in zip(part.column(1), part.column(2)):
+                    made = response(u.as_py(), p.as_py(), date)
+                    data += [serialize(*made), *(serialize(*d) for d in derive_one(*made))]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(KINDS))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(KINDS * part.num_rows), pa.array(data, pa.binary())], names=["page_id", "kind", "record"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, kind string, record binary")
+
+
 def digests(records: DataFrame) -> DataFrame:
     """The header fields of records, one row each, with the SHA-256 of the whole record."""
-    head = F.element_at(F.split(F.decode("record", "UTF-8"), "\r\n\r\n"), 1)
+    head = F.substring_index(F.decode("record", "UTF-8"), "\r\n\r\n", 1)
     get = lambda name: F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)", 1)
     out = records.select("page_id", "kind", head.alias("head"), F.sha2("record", 256).alias("record_sha256"))
     return out.select(
