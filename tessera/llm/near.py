@@ -1,10 +1,10 @@
 """Near copies of a given similarity by SimHash: word shingles of five, exact Jaccard of at least 0.8.
 
 The digest settings of `simhash` (three words, 64 bits, three bits' difference) find copies that are almost equal. Here
-the fingerprints have 256 bits, of the distinct shingles of five words, and are compared at a radius of 80 bits: at a
-similarity of 0.8 about 39 bits differ (binomial, standard deviation 6; 48 for sets of four and five shingles), so a
-pair is missed with a chance under 1e-5, mostly by the first 64 bits, which are compared alone at first. Texts of one
-set of shingles are one node (64-bit hash of the set).
+the fingerprints have 512 bits, of the distinct shingles of five words, and are compared at a radius of 120 bits: at a
+similarity of 0.8 about 78 bits differ (binomial, standard deviation 8), so a pair is missed with a chance under 1e-5,
+mostly by the first 64 bits, which are compared alone at first. Sets of under `FEW` shingles, where one shingle tells more
+bits, have a wider radius. Texts of one set of shingles are one node (64-bit hash of the set).
 
 Tiles. Nodes are dealt into classes of set size, a factor of 1.25 each, and by hash into tiles of bounded size. As a
 similarity of 0.8 needs sizes within that factor, a tile meets those of its own and of the adjacent classes only. In a
@@ -12,11 +12,13 @@ task, blocks of rows and columns whose sizes or population counts are too far ap
 by exclusive-or and bit counts in numpy. A task returns a forest of its hits, close ones first, never all pairs: a
 group of n near copies costs about n pairs a tile pair.
 
-Verification. The pairs of the forests are checked by the exact Jaccard of both sets. Where one fails, pairs beside the
-forest may link its two sides: all hits between the verified components that failed pairs connect are then checked
-too, so no hit is left unsettled. Their number is that of hits between different groups of borderline similarity.
+Verification. The pairs of the forests are checked by the exact Jaccard of both sets. Where one fails, hits beside the
+forest may link its two sides. The nodes of the components that failed pairs connect meet once more in tiles, with their
+sets: every hit between different components is worked out there, in the task, until a pair links them; only such pairs
+are returned. So no hit is left unsettled, and none of them is a row.
 
-Null and empty texts are copies of each other. A row is dropped or kept on its own: rows without a doc_id or with
+Rows are known by their doc_id and two hashes of their text, so only fingerprints are written, no texts. Null and empty
+texts are copies of each other. Of rows with the same doc_id and text one is kept, if any; rows without a doc_id or with
 repeated doc_ids are copies like any others. An empty table gives an empty result. Extra columns are kept.
 """
 
@@ -27,23 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import connected_components, materialize
+from tessera.llm.common import bounded_batches, connected_components, discard, materialize
 from tessera.llm.simhash import spread
 
 SHINGLE = 5
 #: Least similarity as a fraction.
 OVER, UNDER = 4, 5
-LANES = 4
-#: Most bits that differ: of all lanes, of the first one, and of pairs that are nearly sure.
-RADIUS, FIRST, SURE = 80, 24, 36
-#: Bounds of a tile's rows, 56 bytes each.
-LEAST_ROWS, MOST_ROWS = 16_384, 131_072
-#: Most nodes (8 bytes each) that are broadcast.
-MOST_BROADCAST = 2_000_000
+LANES = 8
+#: Most bits that differ: of all lanes, of those of sets under FEW shingles, of the first lane, and of nearly sure pairs.
+RADIUS, WIDE, FIRST, SURE = 120, 150, 24, 72
+FEW = 24
+#: Bounds of a tile's rows, 88 bytes each, and most shingles of a tile that has its sets.
+LEAST_ROWS, MOST_ROWS, MOST_SHINGLES = 16_384, 131_072, 2_000_000
+#: Most rows of up to 32 bytes that are broadcast.
+MOST_BROADCAST = 1_000_000
 _U = np.uint64
 _SALT = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(LANES)], dtype=np.uint64)
 
@@ -71,24 +73,29 @@ def lanes(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def _key(text: Column) -> list[Column]:
+    """Two hashes of a text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(7), t).alias("t2")]
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a number, their node, the size of its set and its fingerprint."""
-    docs = docs.withColumn("near_row", F.monotonically_increasing_id())
-    place = docs.columns.index("text")
-    more = [StructField("near_node", LongType()), StructField("near_size", IntegerType()), StructField("near_lanes", BinaryType())]
+    """doc_id, the text's hashes, node, size of the set and fingerprint of each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, size, own = [], [], []
-            for x in batch.column(place).cast(pa.binary()):
+            for x in batch.column(3):
                 h = shingles(x.as_py())
                 node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
                 own.append(lanes(h).tobytes())
             got = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(own, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, *(f.name for f in more)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *got], names=["id", "t1", "t2", "node", "size", "lanes"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    rows = docs.select(F.col("doc_id").alias("id"), *_key(F.col("text")), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, t1 bigint, t2 bigint, node bigint, size int, lanes binary")
 
 
 def forest(lab: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +121,17 @@ def forest(lab: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tupl
 class Tile:
     """Nodes in the order of their set sizes."""
 
-    def __init__(self, node: np.ndarray, size: np.ndarray, own: list[bytes], root: np.ndarray):
+    def __init__(self, part: pa.Table, sets: bool):
+        size = part["size"].to_numpy()
         order = np.argsort(size, kind="stable")
-        self.node, self.size, self.root = node[order], size[order].astype(np.int64), root[order]
-        self.lanes = np.frombuffer(b"".join(own), dtype="<u8").reshape(-1, LANES)[order]
+        self.node, self.size = part["node"].to_numpy()[order], size[order].astype(np.int64)
+        self.lanes = np.frombuffer(b"".join(part["lanes"].to_pylist()), dtype="<u8").reshape(-1, LANES)[order]
         self.bits = np.bitwise_count(self.lanes).sum(axis=1, dtype=np.int64)
+        if sets:
+            self.root = part["root"].to_numpy()[order]
+            held = part["set"].combine_chunks()
+            flat, first = held.values.to_numpy(), held.offsets.to_numpy()
+            self.sets = [flat[first[k] : first[k + 1]] for k in order]
 
 
 def hits(a: Tile, b: Tile | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,7 +145,7 @@ def hits(a: Tile, b: Tile | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for t in range(max(low, s) if b is None else low, top, wide):
             cols = slice(t, min(t + wide, top))
             bits = other.bits[cols]
-            if bits.min() > near.max() + RADIUS or near.min() > bits.max() + RADIUS:
+            if bits.min() > near.max() + WIDE or near.min() > bits.max() + WIDE:
                 continue
             r, c = np.nonzero(np.bitwise_count(x[:, None] ^ other.lanes[cols, 0][None]) <= FIRST)
             r, c = r + s, c + t
@@ -142,75 +155,112 @@ def hits(a: Tile, b: Tile | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield r, c
 
 
-def _compare(a: Tile, b: Tile | None, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, node, differing bits) of forests of the hits, or of every hit between different roots."""
+def _near(a: Tile, other: Tile, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs that are within the radius in all bits and near enough in size, and their differing bits."""
+    d = np.bitwise_count(a.lanes[r] ^ other.lanes[c]).sum(axis=1, dtype=np.int64)
+    x, y = a.size[r], other.size[c]
+    low = np.minimum(x, y)
+    ok = (d <= np.where(low < FEW, WIDE, RADIUS)) & (UNDER * low >= OVER * np.maximum(x, y))
+    return r[ok], c[ok], d[ok]
+
+
+def _forests(a: Tile, b: Tile | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes: forests of the nearly sure hits and of all hits."""
     other, shift = (a, 0) if b is None else (b, len(a.node))
     total = len(a.node) + (0 if b is None else len(b.node))
     sure, any_ = np.arange(total), np.arange(total)
-    out: list[tuple] = []
+    out = []
+    for r, c in hits(a, b):
+        apart = sure[r] != sure[c + shift]
+        r, c, d = _near(a, other, r[apart], c[apart])
+        close = np.flatnonzero(d <= SURE)
+        sure, p = forest(sure, r[close], c[close] + shift, d[close])
+        p = close[p]
+        any_ = spread(any_, r[p], c[p] + shift)
+        any_, q = forest(any_, r, c + shift, d)
+        p = np.union1d(p, q).astype(np.int64)
+        if len(p):
+            out.append((a.node[r[p]], other.node[c[p]]))
+    return out
+
+
+def _links(a: Tile, b: Tile | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different roots whose sets are similar, enough of them to join the roots that any pair joins."""
+    other, every = a if b is None else b, [*a.sets, *([] if b is None else b.sets)]
+    _, flat = np.unique(np.concatenate(every), return_inverse=True)
+    codes = np.split(flat, np.cumsum([len(x) for x in every])[:-1])
+    own, of = codes[: len(a.node)], codes if b is None else codes[len(a.node) :]
+    marked = np.zeros(len(flat), dtype=np.int32)
+    roots, lab = np.unique(np.r_[a.root, other.root], return_inverse=True)
+    x, y = lab[: len(a.root)], lab[len(a.root) :]
+    joined = np.arange(len(roots))
+    out = []
     for r, c in hits(a, b):
-        apart = a.root[r] != other.root[c] if every else sure[r] != sure[c + shift]
-        r, c = r[apart], c[apart]
-        d = np.bitwise_count(a.lanes[r] ^ other.lanes[c]).sum(axis=1, dtype=np.int64)
-        x, y = a.size[r], other.size[c]
-        ok = (d <= RADIUS) & (UNDER * np.minimum(x, y) >= OVER * np.maximum(x, y))
-        r, c, d = r[ok], c[ok], d[ok]
-        if not every:
-            close = np.flatnonzero(d <= SURE)
-            sure, p = forest(sure, r[close], c[close] + shift, d[close])
-            p = close[p]
-            any_ = spread(any_, r[p], c[p] + shift)
-            any_, q = forest(any_, r, c + shift, d)
-            p = np.union1d(p, q).astype(np.int64)
-            r, c, d = r[p], c[p], d[p]
-        if len(r):
-            out.append((a.node[r], other.node[c], d))
-    if not out:
-        none = np.array([], dtype=np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def candidates(nodes: DataFrame, every: bool = False) -> DataFrame:
-    """(a, b) pairs of nodes (node, size, lanes, root) to check: forests of the hits of each pair of tiles, or every hit
-    between different roots."""
+        apart = joined[x[r]] != joined[y[c]]
+        r, c, _ = _near(a, other, r[apart], c[apart])
+        edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.array([], dtype=np.int64)
+        for lo, hi in zip(edge, [*edge[1:], len(r)]):
+            i, js = r[lo], c[lo:hi]
+            js = js[joined[y[js]] != joined[x[i]]]
+            if not len(js):
+                continue
+            marked[own[i]] = 1
+            first = np.cumsum([0, *(len(of[j]) for j in js[:-1])])
+            n = np.add.reduceat(marked[np.concatenate([of[j] for j in js])], first)
+            marked[own[i]] = 0
+            js = js[UNDER * n >= OVER * (a.size[i] + other.size[js] - n)]
+            _, one = np.unique(joined[y[js]], return_index=True)
+            js = js[one]
+            if len(js):
+                joined = spread(joined, np.full(len(js), x[i]), y[js])
+                out.append((np.full(len(js), a.node[i]), other.node[js]))
+    return out
+
+
+def _in_tiles(nodes: DataFrame, sets: bool) -> DataFrame:
+    """(a, b) pairs of nodes: by `_forests`, or by `_links` of nodes that come with their roots and sets."""
     nodes = nodes.where("size > 0").withColumn("c", F.floor(F.log("size") / F.log(F.lit(1.2501))).cast("int"))
-    held = {r["c"]: r["n"] for r in nodes.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row for each factor of 1.25
-    rows = min(MOST_ROWS, max(LEAST_ROWS, sum(held.values()) // 64))
-    split = F.array(*(F.lit(-(-held.get(c, 0) // rows)) for c in range(max(held, default=0) + 2)))
-    at = nodes.withColumn("k", F.pmod(F.xxhash64("node", F.lit("tile")), F.greatest(F.get(split, F.col("c")), F.lit(1)).cast("bigint")).cast("int"))
+    held = {r["c"]: (r["n"], r["s"]) for r in nodes.groupBy("c").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()}  # a row for each factor of 1.25
+    rows = min(MOST_ROWS, max(LEAST_ROWS, sum(n for n, _ in held.values()) // 64))
+    tiles = {c: max(-(-n // rows), -(-s // MOST_SHINGLES) if sets else 1) for c, (n, s) in held.items()}
+    split = F.array(*(F.lit(tiles.get(c, 0)) for c in range(max(held, default=0) + 2)))
+    names = ["node", "size", "lanes", *(("root", "set") if sets else ())]
     wide = F.lit(1 << 20).cast("bigint")
-    own = F.col("c") * wide + F.col("k")
+    at = nodes.withColumn("k", F.pmod(F.xxhash64("node", F.lit("tile")), F.greatest(F.get(split, F.col("c")), F.lit(1)).cast("bigint")).cast("int"))
     others = F.explode(F.sequence(F.greatest(F.col("c") - 1, F.lit(0)), F.col("c") + 1))
-    at = at.select("node", "size", "lanes", "root", own.alias("t"), others.alias("q"))
+    at = at.select(*names, (F.col("c") * wide + F.col("k")).alias("t"), others.alias("q"))
     at = at.withColumn("n", F.get(split, F.col("q"))).where("n > 0").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     other = F.col("q") * wide + F.col("s")
-    at = at.select("node", "size", "lanes", "root", "t", F.least("t", other).alias("ta"), F.greatest("t", other).alias("tb"))
+    at = at.select(*names, "t", F.least("t", other).alias("ta"), F.greatest("t", other).alias("tb"))
 
     def compare(group: pa.Table) -> pa.Table:
-        ta, tb, t = group["ta"][0].as_py(), group["tb"][0].as_py(), group["t"].to_numpy()
-        tiles = []
-        for x in {ta, tb}:
-            part = group.filter(pa.array(t == x))
-            tiles.append(Tile(part["node"].to_numpy(), part["size"].to_numpy(), part["lanes"].to_pylist(), part["root"].to_numpy()))
-        a, b, d = _compare(tiles[0], tiles[1] if len(tiles) > 1 else None, every)
+        t = group["t"].to_numpy()
+        own = [Tile(group.filter(pa.array(t == k)), sets) for k in np.unique(t)]
+        two = group["ta"][0].as_py() != group["tb"][0].as_py()
+        if len(own) < 1 + two:
+            out = []
+        else:
+            out = (_links if sets else _forests)(own[0], own[1] if two else None)
+        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.array([], dtype=np.int64),) * 2
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return at.groupBy("ta", "tb").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set): the hashes of the shingles of each of the nodes (node, near_row)."""
+def _sets(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, set): the hashes of the shingles of the texts of first (node, id, t1, t2), each text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = pa.array([shingles(x.as_py()).view(np.int64) for x in part.column(1).cast(pa.binary())], pa.list_(pa.int64()))
+                own = pa.array([shingles(x.as_py()).view(np.int64) for x in part.column(1)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), own], names=["node", "set"])
 
-    few = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-    return rows.select("near_row", "text").join(few, "near_row").select("node", "text").mapInArrow(run, "node bigint, set array<bigint>")
+    few = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
+    rows = docs.select(F.col("doc_id").alias("own"), *_key(F.col("text")), F.col("text").cast("binary").alias("text"))
+    texts = rows.join(few, ["t1", "t2"]).where(F.col("own").eqNullSafe(F.col("id"))).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, "node bigint, set array<bigint>")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,44 +270,64 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.expr(f"{UNDER} * n >= {OVER} * (m - n)").alias("ok"))
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = materialize(nodes.select("node", "near_row").join(wanted, "node", "left_semi"), "first")
-    return materialize(_checked(pairs, materialize(_sets(rows, first), "sets")), name)
+def _roots(edges: DataFrame) -> DataFrame:
+    found = connected_components(edges)
+    out = materialize(found, "roots")
+    discard(found)
+    return out
+
+
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
 
 
-def components(rows: DataFrame) -> DataFrame | None:
-    """(node, root) of the nodes that have links; None if none has."""
-    nodes = rows.groupBy(F.col("near_node").alias("node")).agg(F.first("near_size").alias("size"), F.first("near_lanes").alias("lanes"), F.min("near_row").alias("near_row"))
-    nodes = materialize(nodes, "nodes")
-    pairs = materialize(candidates(nodes.withColumn("root", F.col("node"))), "candidates")
+def components(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes of rows (as `_signed` of docs) that have links; None if none has."""
+    firsts = [F.first(c).alias(c) for c in ("size", "lanes")]
+    nodes = rows.groupBy("node").agg(*firsts, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("x"))
+    nodes = materialize(nodes.select("node", "size", "lanes", "x.id", "x.t1", "x.t2"), "nodes")
+    pairs = materialize(_in_tiles(nodes, False), "candidates")
     if pairs.isEmpty():
         return None
-    checked = _verified(rows, nodes, pairs, "checked")
+    sets = materialize(_sets(docs, nodes.join(_ends(pairs, "node"), "node", "left_semi").select("node", "id", "t1", "t2")), "sets")
+    checked = materialize(_checked(pairs, sets), "checked")
     edges = checked.where("ok").select("a", "b")
-    roots = materialize(connected_components(edges), "roots")
+    roots = _roots(edges)
     failed = checked.where("not ok")
     if not failed.isEmpty():
         of = lambda t, c: t.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-        between = of(of(failed, "a"), "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
-        live = connected_components(between).select(F.col("node").alias("root"))
-        all_roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = materialize(all_roots.join(live, "root", "left_semi").select("node", "size", "lanes", "root"), "live")
-        more = materialize(candidates(left, every=True).join(checked, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            again = _verified(rows, nodes, more, "again").where("ok").select("a", "b")
-            roots = materialize(connected_components(edges.unionByName(again)), "roots")
+        between = of(of(failed, "a"), "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        live = materialize(_ends(between, "root"), "live")
+        if not live.isEmpty():
+            # Every node of a component has its set already, as a pair of it was checked.
+            all_roots = nodes.select("node", "size", "lanes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(live, "root", "left_semi")
+            more = materialize(_in_tiles(all_roots.join(sets, "node"), True), "more")
+            if not more.isEmpty():
+                roots = _roots(edges.unionByName(more))
+    for done in (nodes, pairs, sets, checked):
+        discard(done)
     return roots
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of docs of each component of near copies: that of the least doc_id, of a null one if there is no other."""
+    bounded_batches(docs.sparkSession)
     rows = materialize(_signed(docs), "signed")
-    light = rows.select("doc_id", "near_row", F.col("near_node").alias("node"))
-    roots = components(rows)
+    light = rows.select("id", "t1", "t2", "node")
+    roots = components(docs, rows)
     light = light.withColumn("root", F.col("node")) if roots is None else light.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = light.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("x")).select("root", "x.near_row")
-    gone = materialize(light.join(first.withColumnRenamed("near_row", "first"), "root").where("near_row <> first").select("near_row"), "gone")
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return rows.join(gone, "near_row", "left_anti").select(*docs.columns)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("x")
+    first = light.groupBy("root").agg(least).select("root", "x.id", "x.t1", "x.t2")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("id", "t1", "t2")]
+    both = light.alias("l").join(first.alias("f"), "root").select("l.id", "l.t1", "l.t2", (same[0] & same[1] & same[2]).alias("kept"))
+    # Keys that are not to be kept at all, and kept ones that several rows have, of which one stays.
+    keys = both.groupBy("id", "t1", "t2").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    keys = materialize(keys.where("not kept or n > 1").select(F.col("id").alias("k_id"), F.col("t1").alias("k1"), F.col("t2").alias("k2"), "kept"), "keys")
+    own = docs.select(F.struct("*").alias("row"), *_key(F.col("text")))
+    few = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+    at = (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("row.doc_id").eqNullSafe(F.col("k_id"))
+    alone = own.join(few, at, "left_anti").select("row.*")
+    repeated = own.join(F.broadcast(keys.where("kept")) if keys.count() <= MOST_BROADCAST else keys.where("kept"), at)
+    if keys.where("kept").isEmpty():
+        return alone
+    return alone.unionByName(repeated.groupBy("k1", "k2", "k_id").agg(F.first("row").alias("row")).select("row.*"))
