@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 META = "▁"
 #: Most cuts that a worker keeps, about 250 bytes each; when full, the half that came last goes.
-CACHE_CUTS = 500_000
+CACHE_CUTS = 300_000
 #: New cuts that are compared with the library at once.
 CHECKED_CUTS = 4096
 #: Cuts up to this many symbols keep their agenda in a list.
@@ -197,6 +199,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, digests: bool = Tru
     """doc_id, n_tokens and either digests (ids_sha256, decoded_sha256) or ids (array of int) and decoded text.
 
     model is the path of a SentencePiece file that every worker can read (default: the installed public one)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
