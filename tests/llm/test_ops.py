@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lm, near, pieces, pii, quality, shards, simhash, substrings, toxicity, warc
 
@@ -147,6 +148,80 @@ def test_near_in_pipeline(spark):
     assert (simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode())).bit_count() > simhash.RADIUS
 
 
+IDS = [None, None, 5, 5, 5, 9, None, 3, -1]
+UNSURE = [TEXTS[-1], TEXTS[-2], TEXTS[-1], "", SHARED + " " + SHARED, None, TEXTS[-3], TEXTS[-4] + " a@b.example.com", SHARED]
+
+
+@pytest.fixture(scope="module")
+def unsure(spark):
+    """Null and repeated doc_ids, and columns with names that the operators use."""
+    rows = [(i, t, "x", 1, 2, 3, 4, 5, 6, 7) for i, t in zip(IDS, UNSURE)]
+    names = "kept string, near_row bigint, clean_row int, row int, size int, vslot int, key int, k int"
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, {names}").repartition(2)
+
+
+def bag(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+def test_null_and_repeated_ids(spark, unsure):
+    fps = [brute_fingerprint(t) for t in UNSURE]
+    near3 = lambda f: [i for i, g in zip(IDS, fps) if bin(f ^ g).count("1") <= 3 and i is not None]
+    got = simhash.simhash_components(unsure)
+    assert bag(got.select("doc_id", "fingerprint").collect()) == bag((i, f"{f:016x}") for i, f in zip(IDS, fps))
+    assert {(r["fingerprint"], r["component_id"]) for r in got.collect()} == {(f"{f:016x}", min(near3(f), default=None)) for f in fps}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = bag((i, len(sp.encode(t or "")), hashlib.sha256(",".join(map(str, sp.encode(t or ""))).encode()).hexdigest()) for i, t in zip(IDS, UNSURE))
+    assert bag(pieces.encode_decode(unsure).select("doc_id", "n_tokens", "ids_sha256").collect()) == want
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in IDS]
+    scored = lm.score(unsure).collect()
+    assert bag((r["doc_id"], r["held_out"], r["n_tokens"]) for r in scored) == bag((i, h, len((t or "").split()) + 1) for i, h, t in zip(IDS, held, UNSURE))
+    assert {r["train_tokens"] for r in scored} == {sum(len((t or "").split()) + 1 for h, t in zip(held, UNSURE) if not h)}
+    assert bag(quality.quality(unsure).select("doc_id", "n_words").collect()) == bag((i, len((t or "").split())) for i, t in zip(IDS, UNSURE))
+    assert quality.keep_good(unsure).columns == unsure.columns
+    raw = [(t or "").encode() for t in UNSURE]
+    n = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
+    kept = []
+    for t in raw:
+        gone = {j for k in range(len(t) - 199) if n[t[k : k + 200]] > 1 for j in range(k, k + 200)}
+        kept.append(hashlib.sha256(bytes(c for j, c in enumerate(t) if j not in gone)).hexdigest())
+    assert bag(substrings.remove_repeats(unsure).select("doc_id", "kept_sha256").collect()) == bag(zip(IDS, kept))
+    spans = [",".join(f"{pii.FOUND[k]}:{a}:{b}" for a, k, b in pii.spans_of([t or ""], pii.train())[0][1]) for t in UNSURE]
+    assert bag(pii.spans(unsure).select("doc_id", "spans").collect()) == bag(zip(IDS, spans))
+    assert pii.redact(unsure).columns == unsure.columns
+    rest = near.dedup(unsure)
+    assert rest.columns == unsure.columns and {r["text"] for r in rest.collect()} >= {UNSURE[0], UNSURE[1], UNSURE[6]}
+    bench = spark.createDataFrame([(1, SHARED)], "item_id bigint, text string")
+    clean = decontaminate.clean(unsure, bench)
+    assert clean.columns == unsure.columns and Counter(r["text"] for r in clean.collect()) == Counter(t for t in UNSURE if SHARED not in (t or ""))
+    labels = spark.createDataFrame([(5, 1), (5, 0), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert bag(toxicity.score(unsure, labels).select("doc_id").collect()) == bag((i,) for i in IDS)
+    assert bag(shards.assign(unsure, 3).select("doc_id", "text_crc32").collect()) == bag((i, zlib.crc32((t or "").encode())) for i, t in zip(IDS, UNSURE))
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", "one two three")], "doc_id string, text string")
+    small = docs.select(F.when(F.col("doc_id") == "a", 1).otherwise(2).cast("smallint").alias("doc_id"), "text")
+    for t in (docs, small):
+        assert lm.score(t).count() == simhash.simhash_components(t).count() == substrings.remove_repeats(t).count() == 2
+
+
+def test_decontaminate_by_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.01"
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.execute(decontaminate.oracle()).fetchall()
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = decontaminate.contaminated(read("documents"), read("benchmark"), most_broadcast=most).select("doc_id", "item_id", "similarity", "start").collect()
+        assert len(want) > 20 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_decontaminate_five_tokens(spark):
     rows = [(k, " ".join("z" if i == k else f"w{i}" for i in range(5))) for k in range(6)]
     bench = spark.createDataFrame([(1, "w0 w1 w2 w3 w4")], "item_id bigint, text string")
@@ -213,7 +288,7 @@ def test_lm_filter():
     keys = np.random.default_rng(0).integers(0, 2**40, 20_000).astype(np.uint64)
     n = np.random.default_rng(1).integers(2, 200, 20_000)
     levels = lm.level_of(n)
-    size = int(levels.sum()) * lm.BITS
+    size = int(levels.sum()) * lm.BITS // 64
     own = lm.Filter(np.array([size], dtype=np.uint64), np.array([0]), lm.Filter.segment(keys, levels.astype(np.uint8), size))
     got = own.levels(np.zeros(len(keys), dtype=np.int64), keys)
     assert (got >= levels).all() and (got == levels).mean() > 0.98
@@ -312,11 +387,27 @@ def test_warc(spark):
     assert head["metadata"]["WARC-Refers-To"] == head["conversion"]["WARC-Refers-To"] == head["response"]["WARC-Record-ID"]
     assert head["conversion"]["WARC-Block-Digest"] == warc.digest(parsed["conversion"][1]) and "outlink: /l?a=1&b" in parsed["metadata"][1].decode()
     assert [h for h, _ in warc.parse(b"".join(one.values()))] == [h for h, _ in parsed.values()]
-    out = warc.digests(warc.derive(warc.responses(pages))).collect()
+    assert bag(tuple(map(bytes, (r["record"],))) for r in warc.derive_pages(pages).collect()) == bag((bytes(r["record"]),) for r in recs)
+    out = warc.digests(warc.derive_pages(pages)).collect()
     assert len(out) == 15 and all(r["refers_to"] for r in out if r["record_type"] != "response")
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>text {i}</p>" * i) for i in range(30)], "page_id bigint, url string, html string").repartition(3)
+    recs = warc.derive(warc.responses(pages)).select("kind", "record")
+    path = f"file://{tmp_path}/out"
+    assert warc.write(recs, path) == 90
+    back = warc.read(spark, path)
+    assert bag((r["kind"], bytes(r["record"])) for r in back.collect()) == bag((r["kind"], bytes(r["record"])) for r in recs.collect())
+    assert {(r["file"], r["number"]) for r in back.collect()}.__len__() == 90
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.warc").write_bytes(b"".join(bytes(r["record"]) for r in recs.limit(5).collect()))
+    assert warc.read(spark, f"file://{tmp_path}/plain").count() == 5
+    with pytest.raises(ValueError):
+        list(warc.inflate(b"\x1f\x8b\x08\x00"))
+
+
 def test_quality(docs):
     got = rows_of(quality.quality(docs))
     for i, t in enumerate(TEXTS):
