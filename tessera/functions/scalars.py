@@ -163,8 +163,8 @@ def box_iou(a: Box, b: Box) -> Column:
 
 def ellipse(cx: Column, cy: Column, rx: Column, ry: Column, segments: int = 64) -> Column:
     """The ring of an ellipse as an array of (x, y)."""
-    turn = lambda k: 2 * math.pi * k / segments
-    return F.array(*(F.struct((cx + rx * math.cos(turn(k))).alias("x"), (cy + ry * math.sin(turn(k))).alias("y")) for k in range(segments)))
+    turn = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: k * (2 * math.pi / segments))
+    return F.transform(turn, lambda t: F.struct((cx + rx * F.cos(t)).alias("x"), (cy + ry * F.sin(t)).alias("y")))
 
 
 def ring_area(ring: Column) -> Column:

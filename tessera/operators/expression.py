@@ -217,6 +217,8 @@ def pseudobulk_test(x: DataFrame, samples: DataFrame, tested: str, reference: st
 
     Dispersions are of moments, drawn halfway (on the log scale) to a trend a + b / mean. A gene is one row with the
     counts of all samples, whose number is small; genes are spread over tasks and fitted by numpy in Arrow batches."""
+    if not x.where((F.col("value") < 0) | (F.col("value") != F.floor("value"))).isEmpty():
+        raise ValueError("raw counts are needed: a value is negative or no whole number")
     s = samples.where(F.col("condition").isin(tested, reference)).join(size_factors(x) if factors is None else factors, "sample")
     rows = {r["sample"]: (r["factor"], r["condition"] == tested) for r in s.collect()}  # samples, not cells
     names = sorted(rows)

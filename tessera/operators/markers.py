@@ -183,7 +183,7 @@ def cell_cycle(x: DataFrame, obs: DataFrame, s_genes: list, g2m_genes: list, see
     a = gene_score(x, obs, s_genes, ctrl_size=size, seed=seed).withColumnRenamed("score", "s_score")
     b = gene_score(x, obs, g2m_genes, ctrl_size=size, seed=seed).withColumnRenamed("score", "g2m_score")
     both = a.join(b, "row")
-    return both.withColumn("phase", F.when(F.greatest("s_score", "g2m_score") <= 0, "G1").when(F.col("g2m_score") > F.col("s_score"), "G2M").otherwise("S"))
+    return both.withColumn("phase", F.when(F.greatest("s_score", "g2m_score") <= 1e-9, "G1").when(F.col("g2m_score") > F.col("s_score"), "G2M").otherwise("S"))
 
 
 def variable_cell_ranger(x: DataFrame, n: int | Column, n_top: int, bins: int = 20) -> DataFrame:

@@ -157,9 +157,26 @@ def composition(edges: DataFrame) -> DataFrame:
     return n.select("i", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("i"))).alias("proportion"))
 
 
-def interaction(edges: DataFrame, normalized: bool = False) -> DataFrame:
-    """(li, lj, n) label-pair edge counts, or each row's shares (share)."""
-    n = edges.groupBy("li", "lj").agg(F.count("*").alias("n"))
+def grid_graph(places: DataFrame, kind: str = "square", rings: int = 1) -> DataFrame:
+    """(i, j, ring) of places (id, row, col, lib) on a grid that are at most `rings` steps apart: four neighbours each on a
+    square grid, six on a hexagonal one whose rows are shifted by one of two columns. One equi-join for each offset."""
+    steps = {"square": [(0, 1), (0, -1), (1, 0), (-1, 0)], "hex": [(0, 2), (0, -2), (1, 1), (1, -1), (-1, 1), (-1, -1)]}
+    if kind not in steps:
+        raise ValueError(f"kind is square or hex, not {kind!r}")
+    reach, front = {(0, 0): 0}, [(0, 0)]
+    for ring in range(1, rings + 1):
+        front = [(a + c, b + d) for a, b in front for c, d in steps[kind]]
+        front = [p for p in dict.fromkeys(front) if p not in reach]
+        reach |= dict.fromkeys(front, ring)
+    offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(k).alias("ring")) for (a, b), k in reach.items() if k])
+    left = places.select(F.col("id").alias("i"), "lib", "row", "col", F.explode(offsets).alias("o"))
+    left = left.select("i", "lib", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.col("o.ring").alias("ring"))
+    return left.join(places.select(F.col("id").alias("j"), "lib", "row", "col"), ["lib", "row", "col"]).select("i", "j", "ring")
+
+
+def interaction(edges: DataFrame, normalized: bool = False, weight: str | None = None) -> DataFrame:
+    """(li, lj, n) label-pair edge counts, or sums of a weight, or each row's shares of them (share)."""
+    n = edges.groupBy("li", "lj").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return n.select("li", "lj", (F.col("n") / F.sum("n").over(Window.partitionBy("li"))).alias("share")) if normalized else n
 
 
@@ -275,11 +292,11 @@ def bbox_query(df: DataFrame, box: tuple[float, float, float, float], limit: int
 
 
 def infiltration(points: DataFrame, distance: str, target: Column, bins: int) -> DataFrame:
-    """(bin, n, fraction of target) over equal-width bins of the distance column."""
+    """(bin, n, fraction, hits: number of target) over equal-width bins of the distance column."""
     r = points.agg(F.min(distance).alias("lo"), F.max(distance).alias("hi"))
     b = F.least(F.floor((F.col(distance) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     out = points.crossJoin(F.broadcast(r)).select(F.when(F.col("hi") > F.col("lo"), b).otherwise(0).cast("bigint").alias("bin"), target.cast("double").alias("t"))
-    return out.groupBy("bin").agg(F.count("*").alias("n"), F.avg("t").alias("fraction"))
+    return out.groupBy("bin").agg(F.count("*").alias("n"), F.avg("t").alias("fraction"), F.sum("t").cast("bigint").alias("hits"))
 
 
 def sliding_window(points: DataFrame, size: float, overlap: float) -> DataFrame:

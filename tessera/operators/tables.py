@@ -72,6 +72,17 @@ def selection_stats(df: DataFrame, inside: Column, label: str, value: str) -> Da
     )
 
 
+def composition_of(df: DataFrame, inside: Column, label: str, most: int = 25) -> DataFrame:
+    """(label, n_inside, n_all, share_inside, share_all) of the `most` labels that are most frequent inside, ties by label; a
+    selection without a row is an error."""
+    n = df.groupBy(label).agg(F.count_if(inside).alias("n_inside"), F.count("*").alias("n_all"))
+    total = n.agg(F.sum("n_inside").alias("i"), F.sum("n_all").alias("a"))
+    if not total.first()["i"]:
+        raise ValueError("the selection holds no row")
+    out = n.crossJoin(F.broadcast(total)).select(label, "n_inside", "n_all", (F.col("n_inside") / F.col("i")).alias("share_inside"), (F.col("n_all") / F.col("a")).alias("share_all"))  # one row
+    return out.orderBy(F.desc("n_inside"), label).limit(most)
+
+
 def recode(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
     """All labels at once; blank and unchanged entries of the mapping are dropped, an empty one is refused."""
     pairs = {k: v for k, v in mapping.items() if k and v and k != v}
@@ -82,7 +93,10 @@ def recode(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
 
 
 def annotate(df: DataFrame, inside: Column, column: str, label: str) -> DataFrame:
-    """Rows inside get the label, whatever they had; the others keep theirs or are unassigned."""
+    """Rows inside get the label, whatever they had; the others keep theirs or are unassigned. A column of other than labels is
+    not overwritten: that is an error."""
+    if column in df.columns and df.schema[column].dataType.simpleString() != "string":
+        raise ValueError(f"{column!r} holds {df.schema[column].dataType.simpleString()}, not labels")
     old = F.col(column) if column in df.columns else F.lit(None).cast("string")
     return df.withColumn(column, F.when(inside, F.lit(label)).otherwise(F.coalesce(old, F.lit("unassigned"))))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as sc
-from tessera.operators import catalog, fields, polygons, sequences
+from tessera.operators import catalog, fields, polygons, sequences, spatial, tables
 from tessera.plans.queries import KNN, REG, RING, P, _graph, _points, _r, _regions, _ring_sql, _t, query
 
 # Scalar functions.
@@ -284,7 +284,7 @@ def concatenated_selections(spark, sf):
     return polygons.concatenated(_squares(spark, sf), "ring", [SELECTION, box]).select("id", "selection")
 
 
-@query("WITH " + P + f" SELECT id, round(4 * {HALF} * {HALF}, 9) AS area, round(x, 6) AS cx, round(y, 6) AS cy, x BETWEEN -0.12 AND 0.12 AND y BETWEEN -0.07 AND 0.22 AS visible FROM p")
+@query("WITH " + P + f" SELECT id, round(4 * {HALF}::DOUBLE * {HALF}::DOUBLE, 9) AS area, round(x, 6) AS cx, round(y, 6) AS cy, x BETWEEN -0.12 AND 0.12 AND y BETWEEN -0.07 AND 0.22 AS visible FROM p")
 def footprint_measures(spark, sf):
     centre = sc.ring_centroid(F.col("ring"))
     seen = polygons.in_viewport(F.col("x"), F.col("y"), (-0.1, -0.05, 0.1, 0.2), 0.02)
@@ -306,10 +306,8 @@ def lasso_3d(spark, sf):
 
 @query("WITH p AS (SELECT vec_id, CAST(embedding[6] AS DOUBLE) AS x, CAST(embedding[10] AS DOUBLE) AS y FROM embeddings) SELECT vec_id FROM p WHERE " + _ring_sql())
 def lasso_components(spark, sf):
-    from tessera.operators.spatial import in_polygons
-
     part = lambda k: F.col("embedding")[k].cast("double")
-    return _t(spark, sf, "embeddings").where(in_polygons(part(5), part(9), [RING])).select("vec_id")
+    return _t(spark, sf, "embeddings").where(spatial.in_polygons(part(5), part(9), [RING])).select("vec_id")
 
 
 @query("WITH " + P + ", s AS (SELECT lib, sqrt(greatest((max(x) - min(x)) * 1000 * (max(y) - min(y)) * 1000, 1) / count(*)) AS spacing FROM p GROUP BY 1) SELECT round(avg(spacing), 6) AS spacing, bool_or(spacing * pow(2, -2) >= 6) AS near, bool_or(spacing * pow(2, -5) >= 6) AS far FROM s WHERE lib = 0")
@@ -394,8 +392,6 @@ def page_of_parts(spark, sf):
 
 @query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
 def top_counts(spark, sf):
-    from tessera.operators import tables
-
     return tables.value_counts(_t(spark, sf, "customer"), "c_mktsegment").orderBy(F.desc("n"), "value").limit(3)
 
 
@@ -549,7 +545,7 @@ def newest_datasets(spark, sf):
     return catalog.datasets_newest_first(_t(spark, sf, "pages").select(F.col("url").alias("path"), F.col("page_id").alias("modified")), 40)
 
 
-@query("SELECT c_nationkey AS element, sum(octet_length(encode(c_name))) AS bytes, sum(octet_length(encode(c_name))) * 4.0::DOUBLE AS unpacked, round(sum(octet_length(encode(c_name))) * 4.0::DOUBLE * 0.3::DOUBLE, 6) AS resident FROM customer GROUP BY 1")
+@query("SELECT c_nationkey AS element, CAST(sum(octet_length(encode(c_name))) AS BIGINT) AS bytes, sum(octet_length(encode(c_name))) * 4.0::DOUBLE AS unpacked, round(sum(octet_length(encode(c_name))) * 4.0::DOUBLE * 0.3::DOUBLE, 6) AS resident FROM customer GROUP BY 1")
 def size_estimates(spark, sf):
     f = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("element"), F.octet_length("c_name").alias("bytes"))
     return catalog.sizes(f, "element").withColumn("resident", _r("resident"))
@@ -560,10 +556,10 @@ def distinct_counts(spark, sf):
     return _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("n"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, ['point', 'line', 'rectangle', 'ellipse', 'polygon', 'text'][1 + p_partkey % 6] AS kind, CAST(p_size AS DOUBLE) AS a FROM part WHERE p_partkey < 600)
+@query("""WITH s AS (SELECT p_partkey AS id, ['point', 'line', 'rectangle', 'ellipse', 'polygon', 'text'][1 + p_partkey % 6] AS kind, CAST(p_size AS DOUBLE) AS a FROM part)
 SELECT id, kind, CASE kind WHEN 'rectangle' THEN round(a * 2, 4) WHEN 'polygon' THEN round(a * a / 2, 4) WHEN 'ellipse' THEN round(32 * sin(2 * pi() / 64) * a / 2 * 1.0, 4) END AS area FROM s""")
 def annotation_areas(spark, sf):
-    part = _t(spark, sf, "part").where("p_partkey < 600")
+    part = _t(spark, sf, "part")
     kinds = F.array(*map(F.lit, catalog.KINDS))
     a = F.col("p_size").cast("double")
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -571,4 +567,44 @@ def annotation_areas(spark, sf):
     three = F.array(at(F.lit(0.0), F.lit(0.0)), at(a, F.lit(0.0)), at(F.lit(0.0), a))
     s = part.select(F.col("p_partkey").alias("id"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("kind"), two.alias("two"), three.alias("three"))
     ring = catalog.annotation_ring(F.col("kind"), F.when(F.col("kind") == "polygon", F.col("three")).otherwise(F.col("two")))
-    return s.select("id", "kind", F.when(ring.isNotNull(), F.round(sc.ring_area(ring), 4)).alias("area"))
+    s = s.select("id", "kind", ring.alias("ring"))
+    return s.select("id", "kind", F.when(F.col("ring").isNotNull(), F.round(sc.ring_area(F.col("ring")), 4)).alias("area"))
+
+
+# Selections and grids.
+
+
+@query(f"""WITH n AS (SELECT n_name, count(*) FILTER (c_acctbal > 5000) AS n_inside, count(*) AS n_all FROM {REG} GROUP BY 1)
+SELECT n_name, n_inside, n_all, round(n_inside / sum(n_inside) OVER (), 6) AS share_inside, round(n_all / sum(n_all) OVER (), 6) AS share_all FROM n ORDER BY n_inside DESC, n_name LIMIT 10""")
+def selection_composition(spark, sf):
+    out = tables.composition_of(_regions(spark, sf), F.col("c_acctbal") > 5000, "n_name", 10)
+    return out.withColumns({"share_inside": _r("share_inside"), "share_all": _r("share_all")})
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
+def category_counts_sorted(spark, sf):
+    return tables.value_counts(_t(spark, sf, "customer"), "c_mktsegment").orderBy("value")
+
+
+def _grid(spark, sf, wide):
+    e = _t(spark, sf, "embeddings")
+    row = F.floor(F.col("vec_id") / 30).cast("int")
+    col = (F.col("vec_id") % 30).cast("int")
+    return e.select(F.col("vec_id").alias("id"), row.alias("row"), (2 * col + row % 2 if wide else col).alias("col"), (F.col("vec_id") % 4 if not wide else F.lit(0)).alias("lib"))
+
+
+@query("""WITH g AS (SELECT vec_id AS id, vec_id // 30 AS r, vec_id % 30 AS c, vec_id % 4 AS lib FROM embeddings)
+SELECT a.id AS i, b.id AS j, CAST(abs(a.r - b.r) + abs(a.c - b.c) AS INT) AS ring FROM g a JOIN g b ON a.lib = b.lib AND abs(a.r - b.r) + abs(a.c - b.c) BETWEEN 1 AND 4""")
+def grid_square_neighbors(spark, sf):
+    return spatial.grid_graph(_grid(spark, sf, False), "square", 4)
+
+
+@query("""WITH g AS (SELECT vec_id AS id, vec_id // 30 AS r, 2 * (vec_id % 30) + (vec_id // 30) % 2 AS c FROM embeddings)
+SELECT a.id AS i, b.id AS j, CAST(1 AS INT) AS ring FROM g a JOIN g b ON (a.r = b.r AND abs(a.c - b.c) = 2) OR (abs(a.r - b.r) = 1 AND abs(a.c - b.c) = 1)""")
+def grid_hex_neighbors(spark, sf):
+    return spatial.grid_graph(_grid(spark, sf, True), "hex")
+
+
+@query("WITH " + KNN + " SELECT li, lj, round(sum(d), 5) AS n FROM e GROUP BY 1, 2")
+def interaction_weighted(spark, sf):
+    return spatial.interaction(_graph(spark, sf), weight="d").withColumn("n", _r("n", 5))

@@ -107,7 +107,7 @@ def region_features(spark, sf):
     return out.select("type", "var", _r("h", 4).alias("h"), _r("p", 5).alias("p"), _r("padj", 5).alias("padj"), "rank")
 
 
-@query(f"WITH {TYPED}, m AS (SELECT type, v, g, avg(value) AS mean, bool_or(value <> 0) AS has FROM (SELECT d.type, d.v, d.g, d.value FROM dense d JOIN size USING (type, g)) GROUP BY 1, 2, 3), e AS (SELECT *, avg(mean) OVER w AS c, stddev_pop(mean) OVER w AS sd, bool_or(has) OVER w AS some FROM m WINDOW w AS (PARTITION BY type, v)) SELECT type, v AS var, g AS grp, round(mean, 5) AS mean, round(CASE WHEN sd > 1e-12 THEN (mean - c) / sd ELSE 0 END, 4) AS z FROM e WHERE some")
+@query(f"WITH {TYPED}, m AS (SELECT type, v, g, avg(value) AS mean, bool_or(value <> 0) AS has FROM (SELECT d.type, d.v, d.g, d.value FROM dense d JOIN size USING (type, g)) GROUP BY 1, 2, 3), e AS (SELECT *, avg(mean) OVER w AS c, stddev_pop(mean) OVER w AS sd, bool_or(has) OVER w AS present FROM m WINDOW w AS (PARTITION BY type, v)) SELECT type, v AS var, g AS grp, round(mean, 5) AS mean, round(CASE WHEN sd > 1e-12 THEN (mean - c) / sd ELSE 0 END, 4) AS z FROM e WHERE present")
 def region_means(spark, sf):
     return markers.region_means(_x(spark, sf), _typed(spark, sf), 4).select("type", "var", "grp", _r("mean", 5).alias("mean"), _r("z", 4).alias("z"))
 
@@ -170,7 +170,7 @@ def _renamed(sql: str, mark: str) -> str:
     return out
 
 
-@query(f"WITH {XN}, {_renamed(_score_sql(LISTED, 3), '1')}, {_renamed(_score_sql('(' + ', '.join(repr(g) for g in G2M) + ')', 3), '2')} SELECT r AS row, round(sc1.score, 5) AS s_score, round(sc2.score, 5) AS g2m_score, CASE WHEN greatest(sc1.score, sc2.score) <= 0 THEN 'G1' WHEN sc2.score > sc1.score THEN 'G2M' ELSE 'S' END AS phase FROM sc1 JOIN sc2 USING (r)")
+@query(f"WITH {XN}, {_renamed(_score_sql(LISTED, 3), '1')}, {_renamed(_score_sql('(' + ', '.join(repr(g) for g in G2M) + ')', 3), '2')} SELECT r AS row, round(sc1.score, 5) AS s_score, round(sc2.score, 5) AS g2m_score, CASE WHEN greatest(sc1.score, sc2.score) <= 1e-9 THEN 'G1' WHEN sc2.score > sc1.score THEN 'G2M' ELSE 'S' END AS phase FROM sc1 JOIN sc2 USING (r)")
 def cell_cycle_phases(spark, sf):
     out = markers.cell_cycle(_x(spark, sf), _obs(spark, sf), GENES, G2M)
     return out.select("row", _r("s_score", 5).alias("s_score"), _r("g2m_score", 5).alias("g2m_score"), "phase")

@@ -148,10 +148,10 @@ def ring_graph(n):
 
 
 def test_diffusion(spark):
-    path = [(i, i + 1, 1.0) for i in range(19)]
+    path = [(i, i + 1, 1.0) for i in range(7)]
     edges = spark.createDataFrame(path, "i bigint, j bigint, w double")
-    vectors, values = embed.diffusion_map(edges, 3, rounds=200)
-    w = np.zeros((20, 20))
+    vectors, values = embed.diffusion_map(edges, 3, rounds=60)
+    w = np.zeros((8, 8))
     for i, j, x in path:
         w[i, j] = w[j, i] = x
     q = w.sum(axis=1)
@@ -162,7 +162,7 @@ def test_diffusion(spark):
     got = np.array([r["v"] for r in vectors.orderBy("id").collect()])
     assert abs(abs(got[:, 1] @ u[:, -2]) - 1) < 0.01
     order = [r["id"] for r in embed.pseudotime(vectors, values, 0).orderBy("time").collect()]
-    assert order[0] == 0 and sum(a < b for a, b in zip(order, order[1:])) >= 17
+    assert order[0] == 0 and sum(a < b for a, b in zip(order, order[1:])) >= 6
     with pytest.raises(ValueError):
         embed.pseudotime(vectors, values, 99)
 
@@ -175,7 +175,7 @@ def test_layouts_part_clusters(spark, kind):
     edges = embed.connectivities(spatial.knn_vectors(df, 8))
     assert edges.where("w <= 0 or w > 1.0000001").count() == 0
     start = graph.pca(df, 2).withColumnRenamed("pc", "v")
-    got = np.array([r["v"] for r in embed.layout(edges, start, kind, rounds=8).orderBy("id").collect()])
+    got = np.array([r["v"] for r in embed.layout(edges, start, kind, rounds=5).orderBy("id").collect()])
     a, b = got[:30], got[30:]
     within = np.mean([np.linalg.norm(p - p.mean(axis=0), axis=1).mean() for p in (a, b)])
     assert np.isfinite(got).all() and np.linalg.norm(a.mean(axis=0) - b.mean(axis=0)) > 2 * within
@@ -393,3 +393,14 @@ def test_budget():
     assert sequences.within_budget(levels, 1000) == {"a": 0, "b": 0, "c": 0}
     assert sequences.within_budget(levels, 150) == {"a": 1, "b": 0, "c": 0} or sequences.within_budget(levels, 150)["a"] >= 1
     assert sequences.within_budget(levels, 1) == {"a": 2, "b": 1, "c": 0}
+
+
+def test_refusals(spark):
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "b")], "id int, v double, s string")
+    with pytest.raises(ValueError, match="not labels"):
+        tables.annotate(df, F.col("id") == 1, "v", "x")
+    assert {r["s"] for r in tables.annotate(df, F.col("id") == 1, "s", "x").collect()} == {"x", "b"}
+    with pytest.raises(ValueError, match="no row"):
+        tables.composition_of(df, F.lit(False), "s")
+    with pytest.raises(ValueError, match="square or hex"):
+        spatial.grid_graph(df, "odd")
