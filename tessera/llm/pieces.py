@@ -27,7 +27,7 @@ from tessera.llm.common import bounded_batches
 
 META = "▁"
 #: Most cuts that a worker keeps, about 250 bytes each; when full, the half that came last goes.
-CACHE_CUTS = 300_000
+CACHE_CUTS = 400_000
 #: New cuts that are compared with the library at once.
 CHECKED_CUTS = 4096
 #: Cuts up to this many symbols keep their agenda in a list.
